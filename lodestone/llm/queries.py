@@ -5,23 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm import quality as _quality
+from lodestone.llm import toxicity as _toxicity
+from lodestone.llm.common import crc_fold, table
 from lodestone.llm.fm_dedup import substring_dedup
 from lodestone.llm.ngram_join import ngram_jaccard_join
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100, fold_case=True)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = _toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = _toxicity.toxicity(docs.select("doc_id", "text").withColumnRenamed("text", "t"), lexicon, "t").drop("t")
+    return scored.withColumn("held_out", F.expr(f"{crc_fold()} = 0")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": _quality.ORACLE,
+}
