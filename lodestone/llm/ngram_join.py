@@ -348,7 +348,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     wanted = placed.join(weight, (placed["family"] == weight["f"]) & (placed["cls"] == weight["c"])).withColumn("block", block).select(F.col("rep").alias("id"), "h1", "h2", "family", "cls", "block", F.explode(other).alias("o"))
     wanted = wanted.select("id", "h1", "h2", "family", "cls", "block", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"))
-    asked = wanted.join(slim, wanted["id"] == slim["__id"]).select("id", "h1", "h2", "family", "cls", "block", "bi", "bj", "__text")
+    asked = wanted.hint("merge").join(slim, wanted["id"] == slim["__id"]).select("id", "h1", "h2", "family", "cls", "block", "bi", "bj", "__text")
     sets = asked.mapInArrow(_ship(n, fold_case), "id long, family long, cls int, block int, bi int, bj int, set binary")
     dealt = sets.repartition(spark_n, "family", "cls", "bi", "bj").sortWithinPartitions("family", "cls", "bi", "bj")
     links = dealt.mapInArrow(_links(num, den), "a long, b long")
