@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import quality as _quality
+from lodestone.llm import topk as _topk
 from lodestone.llm import toxicity as _toxicity
+from lodestone.llm.chat import quotation_links
 from lodestone.llm.common import crc_fold, table
 from lodestone.llm.fm_dedup import substring_dedup
 from lodestone.llm.ngram_join import ngram_jaccard_join
+from lodestone.llm.packing import best_fit_packing
+from lodestone.llm.pieces import sentencepiece_encode
+
+#: Where the public vocabulary files are.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +29,22 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100, fold_case=True)
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topk.exact_topk(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    return sentencepiece_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, with_ids=False)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation_links(table(spark, sf_dir, "conversations"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = _toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -36,10 +59,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_exact_topk": op3_exact_topk,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": _quality.ORACLE,
+    "op3_exact_topk": _topk.ORACLE,
 }
