@@ -12,9 +12,11 @@ from lodestone.llm import topk as _topk
 from lodestone.llm import toxicity as _toxicity
 from lodestone.llm.chat import quotation_links
 from lodestone.llm.common import crc_fold, table
+from lodestone.llm.extract import extract_main_text
 from lodestone.llm.fm_dedup import substring_dedup
 from lodestone.llm.ngram_join import ngram_jaccard_join
 from lodestone.llm.packing import best_fit_packing
+from lodestone.llm.pii import personal_data
 from lodestone.llm.pieces import sentencepiece_encode
 
 #: Where the public vocabulary files are.
@@ -33,10 +35,18 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _topk.exact_topk(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
     return sentencepiece_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, with_ids=False)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), mask=False).drop("text")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -60,7 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_exact_topk": op3_exact_topk,
+    "op4_html_extraction": op4_html_extraction,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_pii": op6_pii,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_toxicity": op9_toxicity,
