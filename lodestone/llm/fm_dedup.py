@@ -277,7 +277,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int) -
     crowd = distinct.groupBy("m").agg((F.count("*") > CROWDED).alias("crowded")).withColumnRenamed("m", "name")
     asked = distinct.join(crowd, distinct["m"] == crowd["name"]).groupBy("k").agg(F.collect_list(F.struct("m", "c", "at", "n", "crowded")).alias("asked"), F.max("crowded").alias("crowded"))
     pieces = cut(with_id.join(asked, with_id["__key"] == asked["k"]).select("__id", "__text", "asked", "crowded").mapInArrow(_cut_out(window), "m long, c long, id long, words binary, of_m long, of_c long, nth int"))
-    alone = pieces.where("nth >= 0").groupBy("m", "c").agg(F.min(F.struct("id", "words")).alias("s")).select("m", "c", "s.id", "s.words")
+    alone = pieces.where("nth >= 0").groupBy("m", "c").agg(F.min(F.struct("id", "words")).alias("s"), F.count("*").alias("times")).where("times > 1").select("m", "c", "s.id", "s.words")
     entries = pieces.where("nth < 0").select("m", "c", "id", "words").unionByName(alone)
     total = pieces.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     spark_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -286,7 +286,11 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int) -
     found = cut(sharded.mapInArrow(_search(window), "m long, c long, least array<long>"))
     back = pieces.where("nth >= 0").select("of_m", "of_c", "nth", "m", "c")
     single = found.select(F.col("m").alias("fm"), F.col("c").alias("fc"), F.element_at("least", 1).alias("one"))
-    crowded = back.join(single, (back["m"] == single["fm"]) & (back["c"] == single["fc"])).groupBy("of_m", "of_c").agg(F.sort_array(F.collect_set(F.struct("nth", "one"))).alias("s")).select(F.col("of_m").alias("fm"), F.col("of_c").alias("fc"), F.col("s.one").alias("least"))
+    # a window that no other run has is first in the first text with this run
+    spots = back.join(single, (back["m"] == single["fm"]) & (back["c"] == single["fc"])).groupBy("of_m", "of_c").agg(F.map_from_entries(F.collect_set(F.struct("nth", "one"))).alias("spots")).select(F.col("of_m").alias("sm"), F.col("of_c").alias("sc"), "spots")
+    whole = pieces.where("nth >= 0").groupBy("of_m", "of_c").agg(F.min("id").alias("own"), F.max("nth").alias("last"))
+    places = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.try_element_at(F.col("spots"), i), F.col("own")))
+    crowded = whole.join(spots, (whole["of_m"] == spots["sm"]) & (whole["of_c"] == spots["sc"]), "left").select(F.col("of_m").alias("fm"), F.col("of_c").alias("fc"), places.alias("least"))
     least = found.select(F.col("m").alias("fm"), F.col("c").alias("fc"), "least").unionByName(crowded)
     hit = held.join(least, (held["m"] == least["fm"]) & (held["c"] == least["fc"])).where("array_min(least) < id")
     return hit.groupBy("k").agg(F.collect_list(F.struct("at", "least")).alias("hits"))
