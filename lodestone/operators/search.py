@@ -54,6 +54,10 @@ def query_terms(docs: DataFrame, query: str, expand: bool = False) -> list[str]:
     return found + [s for t in found for s in synonyms().get(t, [])] if expand else found
 
 
+def _times(tokens: str, word: str) -> Column:
+    return F.size(F.filter(tokens, lambda x: x == word))
+
+
 def bm25(docs: DataFrame, query: str, k: int = 10, compat: bool = False, expand: bool = False, text: str = "text", key: str = "id") -> DataFrame:
     """(id, score, rank from 0) of the k best documents.
 
@@ -63,7 +67,7 @@ def bm25(docs: DataFrame, query: str, k: int = 10, compat: bool = False, expand:
     terms = query_terms(docs, query, expand)
     wanted = sorted(set(terms))
     tokens = docs.select(F.col(key).alias("id"), F.coalesce(tokenize(F.col(text)), F.array().cast("array<string>")).alias("t"))
-    counted = tokens.select("id", F.size("t").alias("dl"), *[F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"tf{i}") for i, w in enumerate(wanted)])
+    counted = tokens.select("id", F.size("t").alias("dl"), *[_times("t", w).alias(f"tf{i}") for i, w in enumerate(wanted)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))]).first()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
     total = F.lit(0.0)

@@ -19,6 +19,7 @@ def vulnerable(deps: DataFrame, known: DataFrame, least: str = "unknown", includ
     rank = F.array_position(F.array(*[F.lit(x) for x in RANK]), F.col("severity"))
     a = known.select("id", F.col("ecosystem").alias("eco"), "package", "fixed", "severity").where(rank >= RANK.index(least) + 1)
     d = deps if include_dev or "dev" not in deps.columns else deps.where(~F.coalesce("dev", F.lit(False)))
+    d = d.select("name", "version", "ecosystem")
     exact = d.join(a, (d["ecosystem"] == a["eco"]) & (d["name"] == a["package"]))
     part = d.where("ecosystem = 'golang'").join(a.where("eco = 'golang'"), (F.col("ecosystem") == F.col("eco")) & F.contains("name", F.col("package")) & (F.col("name") != F.col("package")))
     met = exact.unionByName(part).where(version_lt(F.col("version"), F.col("fixed")))
