@@ -146,18 +146,22 @@ def imports_of(files: DataFrame) -> DataFrame:
     plain, use, include = r"^import\s+(?:static\s+)?['\"]?([\w./@*-]+)['\"]?(?:\s+as\s+(\w+))?;?$", r"^(?:pub\s+)?use\s+([\w:]+?)(?:::\{([^}]*)\}|(?:\s+as\s+(\w+))?);", r"^#include\s+[<\"]([^>\"]+)"
     names = F.coalesce(get(py_from, 2), F.regexp_replace(get(js_from, 1), r"[{}]", ""), get(use, 2), F.lit(""))
     rows = lines.where(F.col("t").rlike(r"^(from\s|import\s|export\s.*from|(pub\s+)?use\s|#include)"))
-    each = rows.select("repo", "path", "line", F.coalesce(get(py_from, 1), get(js_from, 2), get(plain, 1), get(use, 1), get(include, 1)).alias("module"), F.coalesce(get(plain, 2), get(use, 3)).alias("whole"), F.explode(F.transform(F.split(names, ","), F.trim)).alias("n")).where("module is not null")
+    each = rows.select("repo", "path", "line", F.coalesce(get(py_from, 1), get(js_from, 2), get(plain, 1), get(use, 1), get(include, 1)).alias("module"), F.coalesce(get(plain, 2), get(use, 3)).alias("whole"), F.explode(F.transform(F.split(names, ","), lambda x: F.trim(x))).alias("n")).where("module is not null")
     name = F.nullif(F.regexp_extract("n", r"^([\w*]+)", 1), F.lit(""))
     return each.select("repo", "path", "line", "module", name.alias("name"), F.coalesce(F.nullif(F.regexp_extract("n", r"\s+as\s+(\w+)$", 1), F.lit("")), F.col("whole")).alias("alias"))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """Edges (src, dst, module): each import's candidate paths against the files there are, the first candidate winning."""
+    """Edges (src, dst, module): each import's candidate paths against the files there are, the first candidate winning.
+
+    A path through '::' loses its root (crate, self, super); the whole of it is tried, then all but its last name.
+    """
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     base = F.regexp_replace(F.regexp_replace("module", r"^\.+/?", ""), r"::|\.(?=\w+(\.|$))", "/")
     near = F.when(folder == "", base).otherwise(F.concat_ws("/", folder, base))
+    rooted = F.concat(F.lit("src/"), F.regexp_replace(base, r"^((crate|self|super)/)+", ""))
     endings = F.array(*[F.lit(x) for x in (".py", ".ts", ".tsx", ".js", ".jsx", ".rs", "/__init__.py", "/index.ts", "/index.js", "/mod.rs", "")])
-    tried = imports.select("repo", F.col("path").alias("src"), "module", F.posexplode(F.flatten(F.array(F.transform(endings, lambda e: F.concat(near, e)), F.transform(endings, lambda e: F.concat(base, e))))))
+    tried = imports.select("repo", F.col("path").alias("src"), "module", F.posexplode(F.flatten(F.transform(F.array(near, base, rooted, F.regexp_replace(rooted, "/[^/]*$", "")), lambda c: F.transform(endings, lambda e: F.concat(c, e)))))
     met = tried.withColumnRenamed("col", "dst").join(files.select("repo", F.col("path").alias("dst")).distinct(), ["repo", "dst"])
     return met.where("src <> dst").groupBy("repo", "src", "module").agg(F.min_by("dst", "pos").alias("dst")).select("repo", "src", "dst", "module").distinct()
 
