@@ -161,7 +161,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     near = F.when(folder == "", base).otherwise(F.concat_ws("/", folder, base))
     rooted = F.concat(F.lit("src/"), F.regexp_replace(base, r"^((crate|self|super)/)+", ""))
     endings = F.array(*[F.lit(x) for x in (".py", ".ts", ".tsx", ".js", ".jsx", ".rs", "/__init__.py", "/index.ts", "/index.js", "/mod.rs", "")])
-    tried = imports.select("repo", F.col("path").alias("src"), "module", F.posexplode(F.flatten(F.transform(F.array(near, base, rooted, F.regexp_replace(rooted, "/[^/]*$", "")), lambda c: F.transform(endings, lambda e: F.concat(c, e)))))
+    tried = imports.select("repo", F.col("path").alias("src"), "module", F.posexplode(F.flatten(F.transform(F.array(near, base, rooted, F.regexp_replace(rooted, "/[^/]*$", "")), lambda c: F.transform(endings, lambda e: F.concat(c, e))))))
     met = tried.withColumnRenamed("col", "dst").join(files.select("repo", F.col("path").alias("dst")).distinct(), ["repo", "dst"])
     return met.where("src <> dst").groupBy("repo", "src", "module").agg(F.min_by("dst", "pos").alias("dst")).select("repo", "src", "dst", "module").distinct()
 
