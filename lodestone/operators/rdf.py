@@ -125,6 +125,6 @@ def parse_nquads(lines: DataFrame) -> DataFrame:
     p = r'^<([^>]*)> <urn:code:([^>]*)> (?:<([^>]*)>|"((?:[^"\\]|\\.)*)") <urn:graph:([^>]*)> \.$'
     part = lambda i: F.regexp_extract("value", p, i)
     plain = part(4)
-    for a, b in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"'), ("\\\\", "\\")):
+    for a, b in (("\\\\", "\0"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"'), ("\0", "\\")):
         plain = F.replace(plain, F.lit(a), F.lit(b))
     return lines.where(F.col("value").rlike(p)).select(part(1).alias("s"), part(2).alias("p"), F.when(part(3) != "", part(3)).otherwise(plain).alias("o"), part(5).alias("g"))

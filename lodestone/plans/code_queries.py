@@ -55,7 +55,7 @@ impl Point {
 }
 '''
 FILES = [
-    ("demo", "src/app.py", APP), ("demo", "src/lib.py", LIB), ("demo", "src/main.rs", MAIN_RS), ("demo", "src/util.rs", "pub fn twice(a: i32) -> i32 { a * 2 }\n"), ("demo", "tests/test_app.py", "from app import f\n\ndef test_f():\n    assert f(1, 0) == 0\n"),
+    ("demo", "src/app.py", APP), ("demo", "src/lib.py", LIB), ("demo", "src/main.rs", MAIN_RS), ("demo", "src/util.rs", "pub fn twice(a: i32) -> i32 { a * 2 }\npub fn spare() {}\n"), ("demo", "tests/test_app.py", "from app import f\n\ndef test_f():\n    assert f(1, 0) == 0\n"),
     ("demo", "package.json", '{"dependencies": {"lodash": "^4.17.20", "axios": "1.7.0"}, "devDependencies": {"x": "1.0.0"}}'), ("demo", "requirements.txt", "# pins\nrequests==2.30.0\nflask\n-e .\n"), ("demo", "go.mod", "module m\n\nrequire (\n\tgolang.org/x/net v0.1.0\n)\nrequire a/b v1.2.3\n"), ("demo", ".env", "KEY=1"),
 ]
 
@@ -158,12 +158,12 @@ def symbol_at(spark, d):
 
 _V = "SELECT * FROM (VALUES {}) t({})"
 QUERIES = {
-    "find_symbols": (find_symbols, _V.format("('src/app.py','f','function',6,15),('src/app.py','go','method',18,22),('src/lib.py','helper','function',3,7),('src/lib.py','_hidden','function',9,10),('src/main.rs','main','function',3,6),('src/main.rs','new','function',9,9),('src/util.rs','twice','function',1,1),('tests/test_app.py','test_f','function',3,4)", "path, name, kind, start_line, end_line")),
+    "find_symbols": (find_symbols, _V.format("('src/app.py','f','function',6,15),('src/app.py','go','method',18,22),('src/lib.py','helper','function',3,7),('src/lib.py','_hidden','function',9,10),('src/main.rs','main','function',3,6),('src/main.rs','new','function',9,9),('src/util.rs','twice','function',1,1),('src/util.rs','spare','function',2,2),('tests/test_app.py','test_f','function',3,4)", "path, name, kind, start_line, end_line")),
     "get_call_graph": (call_graph, None),
     "parse_imports": (imports, None),
     "resolve_import": (import_edges, _V.format("('src/app.py','src/lib.py'),('src/lib.py','src/app.py'),('src/main.rs','src/util.rs'),('tests/test_app.py','src/app.py')", "src, dst")),
     "import_cycles": (circular, "SELECT 2 AS length, ['src/app.py', 'src/lib.py'] AS path"),
-    "dead_code_unused_exports": (unused_exports, None),
+    "dead_code_unused_exports": (unused_exports, "SELECT 'src/util.rs' AS file, 'spare' AS name"),
     "get_control_flow": (control_flow, None),
     "get_reaching_definitions": (_analysis("chain"), None),
     "find_dead_stores": (_analysis("dead_store"), _V.format("('src/app.py','f@6','dead_store','x',7,NULL::INTEGER,0),('src/app.py','f@6','dead_store','y',8,NULL,0)", "path, fn, finding, var, def_line, use_line, block")),
@@ -171,7 +171,7 @@ QUERIES = {
     "find_dead_code": (_analysis("unreachable", "dead_store"), None),
     "find_loops": (_analysis("loop"), None),
     "get_complexity": (complexity, None),
-    "find_unused_imports": (unused_imports, _V.format("('src/app.py',2,'system'),('src/app.py',3,'loads'),('src/app.py',3,'d'),('src/app.py',4,'helper'),('src/lib.py',1,'f')", "path, line, name")),
+    "find_unused_imports": (unused_imports, _V.format("('src/app.py',3,'loads'),('src/app.py',3,'d'),('src/app.py',4,'helper'),('src/lib.py',1,'f')", "path, line, name")),
     "find_injection_vulnerabilities": (injections, _V.format("('src/app.py','user_input','command','r',19,21,false,'critical')", "path, source_kind, sink_kind, variable, source_line, sink_line, sanitized, severity")),
     "infer_types": (types, None),
     "scan_manifests": (dependencies, None),
