@@ -69,7 +69,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     lost = F.aggregate("bad", F.lit(0).cast("long"), lambda a, line: a + F.size(F.split(F.btrim(line, F.lit(" \t\n\x0b\f\r")), f"[{SPACE}]+")))
     out = judged.withColumns({"base_failed": (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words")), "n_lines_removed": F.size("bad").cast("long"), "n_words_removed": lost})
     kept = ~F.col("base_failed") & (100 * F.col("n_words_removed") <= most_lost * F.col("n_words"))
-    return out.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_lines", "n_lines_removed", "n_words_removed")
+    done = out.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_lines", "n_lines_removed", "n_words_removed")
+    # rows come out of a generator, so that a filter on a result is not pushed down into copies of all of the above
+    return done.select(F.inline(F.array(F.struct(*done.columns))))
 
 
 ORACLE = r"""

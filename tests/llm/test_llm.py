@@ -143,7 +143,7 @@ def test_passages_odd_rows(odd):
     assert fm_dedup.substring_dedup(odd.limit(0)).count() == 0
 
 
-def test_quality_equals_brute_force(docs, odd):
+def test_quality_equals_brute_force(docs, odd):  # the filter on kept must not copy the plan below it
     def counts(t):
         t = t or ""
         w = WORD.findall(t)
