@@ -26,7 +26,7 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 
 _GLYPH = re.compile("[" + "".join(HOMOGLYPHS) + "Ａ-ｚ]")
 _MIXED = re.compile(r"(?<![^\W\d_])(?=[\w@$!]*[^\W\d_])(?=[\w@$!]*[013457 8@$])[\w@$!]*[\w@$]".replace("7 8", "78"))
-_MIX_HINT = re.compile(r"[^\W\d_][013457 8@$!][^\W\d_]|[@$013457][^\W\d_]{2}".replace("7 8", "78"))
+_MIX_HINT = re.compile(r"[^\W\d_][0134578@$!]+[^\W\d_]|[@$013457][^\W\d_]")
 _SIGN = re.compile(r"[0-9@$!]")
 _REST = re.compile(r"[\W_]+")
 _ASCII_REST = {i: " " for i in range(128) if not chr(i).isalnum()}
