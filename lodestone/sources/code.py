@@ -32,7 +32,7 @@ def read_files(spark: SparkSession, root: str, repo: str, most_bytes: int = 1 <<
     path = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
     known = r"\.(" + "|".join(LANGUAGES) + r")$"
     kept = raw.withColumn("p", path).where(~F.col("p").rlike(SKIPPED) & F.col("p").rlike(known) & (F.col("length") <= most_bytes))
-    return kept.select(F.lit(repo).alias("repo"), F.col("p").alias("path"), language_of(F.col("p")).alias("language"), F.decode("content", F.lit("UTF-8")).alias("content"), F.col("length").alias("size"))
+    return kept.select(F.lit(repo).alias("repo"), F.col("p").alias("path"), language_of(F.col("p")).alias("language"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"))
 
 
 def repositories(listing: DataFrame, most_depth: int = 3) -> DataFrame:

@@ -11,7 +11,7 @@ from lodestone.operators.incremental import difference, upsert
 
 def watch(spark: SparkSession, folder: str, suffix: str = "*") -> DataFrame:
     """A stream of files(path, modified, content) that appear below folder."""
-    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", suffix).load(folder).select("path", F.col("modificationTime").alias("modified"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", suffix).load(folder).select("path", F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("content"))
 
 
 def debounced(changes: DataFrame, window: str = "2 seconds") -> DataFrame:
