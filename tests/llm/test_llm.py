@@ -305,6 +305,20 @@ def test_chat(spark):
     assert chat.quotation_links(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_levels_and_passages(spark):
+    rows = [
+        (1, 0, "user", "a one\na two\na three"), (1, 1, "assistant", "> a one\n> a two\nb says"), (1, 2, "user", "> > a one\n> > a two\n>\n> b says\nc"), (1, 3, "user", ">> a three\nonly deeper"),
+        (2, 0, "user", "Thanks\nfirst"), (2, 1, "user", "Thanks\nsecond"), (2, 2, "user", "Thanks\nthird"), (2, 3, "user", "> Thanks\n> second\nx"), (2, 4, "user", "> Thanks\ny\n> second\nz"), (2, 5, "user", "> Thanks\nw"), (2, 6, "user", "> first\n> third\n> elsewhere"),
+        (3, 0, "user", "p\nq"), (3, 1, "user", "p\nr"), (3, 2, "user", "q\ns"), (3, 3, "user", "> p\nno\n> q\nyes"), (3, 4, "user", "> later"), (3, 5, "user", "later"),
+        (4, 0, "user", "x\ny"), (4, 1, "user", "y\nx"), (4, 2, "user", "> x\n>\n> y\nboth"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in chat.quotation_links(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got) == len(rows) and [got[1, t].reply_to for t in range(4)] == [None, 0, 1, 0] and got[1, 2].path == [0, 1, 2]
+    assert (got[1, 2].n_quoted, got[1, 2].n_linked, got[1, 2].deepest_quote) == (4, 3, 2)
+    assert [got[2, t].reply_to for t in range(3, 7)] == [1, 1, 2, 2] and got[2, 6].n_linked == 2
+    assert got[3, 3].reply_to == 0 and got[3, 4].reply_to is None and got[4, 2].reply_to == 0
+
+
 def test_folding():
     assert toxicity.fold("1d10t, ІDIОT! **a** 10") == " idiot idiot a 10 " and toxicity.fold(None) == " "
 
