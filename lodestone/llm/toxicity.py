@@ -25,26 +25,44 @@ HOMOGLYPHS = dict(zip("аеорсухкмтвніјѕԁɡαοερτυνικ", "a
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 
 _GLYPH = re.compile("[" + "".join(HOMOGLYPHS) + "Ａ-ｚ]")
-_MIXED = re.compile(r"(?<![^\W\d_])(?=[\w@$!]*[^\W\d_])(?=[\w@$!]*[013457 8@$])[\w@$!]*[\w@$]".replace("7 8", "78"))
-_MIX_HINT = re.compile(r"[^\W\d_][0134578@$!]+[^\W\d_]|[@$013457][^\W\d_]")
-_SIGN = re.compile(r"[0-9@$!]")
+_MIXED = re.compile(r"(?<![^\W_])(?<![@$!])[^\W_0134578]*+[0134578@$!](?:[^\W_]|[@$!])*")
+_LETTER = re.compile(r"[^\W\d_]")
+_SIGN = re.compile(r"[0134578@$!]")
 _REST = re.compile(r"[\W_]+")
 _ASCII_REST = {i: " " for i in range(128) if not chr(i).isalnum()}
 _GLYPH_TABLE = {ord(k): v for k, v in HOMOGLYPHS.items()} | {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)}
 _SUB_TABLE = {ord(k): v for k, v in SUBSTITUTES.items()}
 
 
-def fold(text: str | None) -> str:
-    """' word word ' in folded letters; ' ' for a null, empty or blank text."""
+def _letters(m: re.Match) -> str:
+    """A word with its substitutes undone; '!' at its end is a mark, and words without a letter stay."""
+    word = m[0].rstrip("!")
+    return word.translate(_SUB_TABLE) + " " if _LETTER.search(word) else m[0]
+
+
+def _lower(text: str | None) -> str:
     s = (text or "").lower()
-    if not s.isascii() and _GLYPH.search(s):
-        s = s.translate(_GLYPH_TABLE)
-    if _SIGN.search(s) and _MIX_HINT.search(s):
-        s = _MIXED.sub(lambda m: m[0].translate(_SUB_TABLE), s)
+    return s.translate(_GLYPH_TABLE) if not s.isascii() and _GLYPH.search(s) else s
+
+
+def _fold(s: str) -> str:
+    if _SIGN.search(s):
+        s = _MIXED.sub(_letters, s)
     words = " ".join((s.translate(_ASCII_REST) if s.isascii() else _REST.sub(" ", s)).split())
     return f" {words} " if words else " "
 
 
+def fold(text: str | None) -> str:
+    """' word word ' in folded letters; ' ' for a null, empty or blank text."""
+    return _fold(_lower(text))
+
+
+def apart(text: str | None) -> str:
+    """The other reading of words with '!' before or between letters: '!' as a mark between words, folded."""
+    s = _lower(text)
+    return _fold(" ".join(m[0].replace("!", " ") for m in _MIXED.finditer(s) if "!" in m[0].rstrip("!"))) if "!" in s else " "
+
+
 @dataclass
 class Lexicon:
     """Patterns carry their blanks: ' word ' is a whole word, ' begin' a word's beginning."""
@@ -67,7 +85,7 @@ class Lexicon:
     def features(self, text: str | None, automaton, weights: list[float]) -> list[float]:
         folded = fold(text)
         hits, cleared = [], []
-        for end, (n, i) in automaton.iter(folded) if weights or self.exceptions else ():
+        for end, (n, i) in automaton.iter(folded + apart(text)) if weights or self.exceptions else ():
             (cleared if i < 0 else hits).append((end - n + 1, end, i))
         if cleared and hits:
             hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in cleared)]

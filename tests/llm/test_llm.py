@@ -323,6 +323,17 @@ def test_folding():
     assert toxicity.fold("1d10t, ІDIОT! **a** 10") == " idiot idiot a 10 " and toxicity.fold(None) == " "
 
 
+def test_folding_word_by_word():
+    for text, words in [("id!ot", "idiot"), ("!diot!", "idiot"), ("8itch", "bitch"), ("a55", "ass"), ("ha73.", "hate"), ("you a55!!", "you ass"), ("10 2nd 50$ !! ok! 269", "10 2nd 50 ok 269"), ("x_5 5 b4d_10", "x 5 5 bad 10"), ("é1é", "éié")]:
+        assert toxicity.fold(text) == f" {words} "
+    assert toxicity.fold("you a55") == toxicity.fold("you a55 m0ron").replace(" moron", "")
+    assert toxicity.apart("shut up!idiot, n!ce! fine!") == " up idiot n ce " and toxicity.apart("fine! 1d10t") == " "
+    lex = toxicity.learn([("you idiot there", 1)] * 20 + [("fine words only", 0)] * 50)
+    a, w, c = lex.automaton(), list(lex.weights.values()), np.array(lex.curve)
+    for text in ("you id!ot there", "you !d!ot there", "you !idiot there", "shut up!idiot there", "you 1d10t there"):
+        assert np.array(lex.features(text, a, w)) @ c > 0 > np.array(lex.features("fine! words 10 only!", a, w)) @ c
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in q.op9_toxicity(spark, d).collect()}
