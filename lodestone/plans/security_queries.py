@@ -48,6 +48,10 @@ def redacted(spark, d):
     return table(spark, d, "documents").where(F.col("text").rlike("token")).select("doc_id", F.length(tx.redact_secrets(F.col("text"))).alias("n_chars"))
 
 
+def redacted_all(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.length(tx.redact_secrets(F.col("text"))).alias("n_chars"))
+
+
 def entropies(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.round(tx.entropy(F.col("c_name")), 6).alias("bits"))
 
@@ -172,6 +176,13 @@ def import_graph(spark, d):
     return links.groupBy("target").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
+def _redacted_sql() -> str:
+    text = "text"
+    for pattern, into in tx.REDACTIONS:
+        text = "regexp_replace({}, '{}', '{}', 'g')".format(text, pattern.replace("'", "''"), into.replace("$1", "\\1"))
+    return f"SELECT doc_id, length({text}) AS n_chars FROM documents"
+
+
 _VULN = DEPS_SQL + ", hit AS (SELECT d.*, a.adv_id, a.severity, a.fixed, v[1] <> f[1] AS breaking FROM deps d JOIN adv a ON d.ecosystem = a.eco AND d.name = a.package AND d.v < a.f)"
 _TR = "tr AS (SELECT 'n:' || n_nationkey AS s, unnest(['type', 'name', 'inRegion']) AS p, unnest(['Nation', n_name, 'r:' || n_regionkey]) AS o FROM nation UNION ALL SELECT 'r:' || r_regionkey, unnest(['type', 'name']), unnest(['Region', r_name]) FROM region UNION ALL SELECT 'c:' || c_custkey, unnest(['type', 'name', 'inNation', 'segment']), unnest(['Customer', c_name, 'n:' || c_nationkey, c_mktsegment]) FROM customer)"
 _SCAN = f"{_PG}, sc AS (SELECT path, '<' || t AS t FROM pg), f AS (SELECT 'WEB-001' AS rule_id, 'medium' AS severity, path FROM sc WHERE contains(t, 'http://') AND NOT contains(t, 'http://localhost') UNION ALL SELECT 'WEB-002', 'high', path FROM sc WHERE regexp_matches(t, '<script[^>]*>') UNION ALL SELECT 'WEB-003', 'low', path FROM sc WHERE starts_with(t, '<style'))"
@@ -183,6 +194,7 @@ QUERIES = {
     "get_security_summary": (security_summary, f"WITH {_SCAN} SELECT rule_id, count(*) AS n, max(severity) AS risk FROM f GROUP BY 1"),
     "rule_secret": (secrets, "WITH ln AS (SELECT source || '/' || doc_id AS path, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line, unnest(string_split(text, chr(10))) AS t FROM documents), m AS (SELECT path, line, regexp_extract(t, '[a-f0-9]{40}') AS s FROM ln WHERE regexp_matches(t, '[a-f0-9]{40}')) SELECT path, line, left(s, 4) || '...' || right(s, 4) AS snippet FROM m WHERE (SELECT -sum(n / 40.0 * log2(n / 40.0)) FROM (SELECT count(*) AS n FROM (SELECT unnest(string_split(s, '')) AS ch) GROUP BY ch)) >= 3.0"),
     "redact_secrets": (redacted, "SELECT doc_id, length(regexp_replace(regexp_replace(text, 'AKIA[0-9A-Z]{16}', '[AWS_ACCESS_KEY_REDACTED]', 'g'), '(?i)(secret|token|key|credential|auth)([^\\n]*)[\"''][a-f0-9]{32,64}[\"'']', '\\1=[REDACTED]', 'g')) AS n_chars FROM documents WHERE regexp_matches(text, 'token')"),
+    "redact_secrets_all": (redacted_all, _redacted_sql()),
     "calculate_entropy": (entropies, "SELECT c_custkey, round((SELECT -sum(n / strlen(c_name) * log2(n / strlen(c_name))) FROM (SELECT count(*) AS n FROM (SELECT unnest(string_split(c_name, '')) AS ch) GROUP BY ch)), 6) AS bits FROM customer"),
     "check_dependencies": (check_dependencies, _VULN + " SELECT adv_id AS id, severity, breaking, count(*) AS n FROM hit GROUP BY 1, 2, 3"),
     "find_upgrade_path": (upgrade_path, _VULN + " SELECT name, version, min(fixed) AS to_version, min(severity) AS severity, bool_or(breaking) AS breaking, count(*) AS n FROM hit GROUP BY name, version, ecosystem"),
