@@ -92,6 +92,58 @@ def short_cycles(edges: DataFrame, most_length: int = 3) -> DataFrame:
     return found.select(F.size("path").alias("length"), "path")
 
 
+def strong_components(edges: DataFrame, most_rounds: int = 10000) -> DataFrame:
+    """(component, node) of the strongly connected components that hold a cycle of any length; component is the smallest node.
+
+    Nodes without an edge in or out are trimmed. Every node then takes the smallest node that reaches it as its colour; the
+    nodes of a colour that reach the colour's own node are its component, and leave. Raises if most_rounds do not suffice.
+    """
+    loops = edges.where("src = dst").select(F.col("src").alias("component"), F.col("src").alias("node")).distinct()
+    left, found = settle(edges.where("src <> dst").select("src", "dst").distinct()), []
+
+    def rounds(what: str):
+        yield from range(most_rounds)
+        raise RuntimeError(f"strong_components: {what} did not settle")
+
+    def within(e: DataFrame, nodes: DataFrame) -> DataFrame:
+        return e.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+
+    for _ in rounds("components"):
+        n = left.count()
+        for _ in rounds("trimming"):
+            left = settle(within(left, left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node")))))
+            n, before = left.count(), n
+            if n == before:
+                break
+        if not n:
+            break
+        colour = settle(left.select(F.col("src").alias("node"), F.col("src").alias("colour")).distinct())
+        for _ in rounds("colours"):
+            sent = left.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("new"))
+            step = settle(colour.join(sent, "node").select("node", F.least("colour", "new").alias("colour"), (F.col("new") < F.col("colour")).alias("changed")))
+            colour, changed = step.drop("changed"), not step.where("changed").isEmpty()
+            if not changed:
+                break
+        # edges inside a colour, backwards from the colour's own node
+        paint = lambda end: colour.select(F.col("node").alias(end), F.col("colour").alias("colour"))
+        inside = settle(left.join(paint("src"), "src").join(paint("dst"), ["dst", "colour"]).select("src", "dst"))
+        frontier = settle(colour.where("node = colour"))
+        seen = frontier
+        for _ in rounds("reach"):
+            new = inside.join(frontier.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "colour").distinct()
+            frontier = settle(new.join(seen.select("node"), "node", "left_anti"))
+            if frontier.isEmpty():
+                break
+            seen = settle(seen.unionByName(frontier))
+        found.append(seen.select(F.col("colour").alias("component"), "node"))
+        rest = settle(colour.join(seen.select("node"), "node", "left_anti").select("node"))
+        left = settle(within(left, rest))
+    parts = loops.limit(0)
+    for f in found:
+        parts = parts.unionByName(f.join(f.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi"))
+    return parts.unionByName(loops.join(parts.select("node"), "node", "left_anti").select("component", "node"))
+
+
 def peel(edges: DataFrame, importers_first: bool = True, most_rounds: int = 200) -> DataFrame:
     """(node, level) by Kahn's peeling; nodes on or behind a cycle get no level (null)."""
     step = edges.select("src", "dst").where("src <> dst").distinct()

@@ -36,6 +36,10 @@ def cycles(spark, d):
     return gr.short_cycles(edges(spark, d), 2)
 
 
+def import_components(spark, d):
+    return gr.strong_components(edges(spark, d))
+
+
 def topological(spark, d):
     """Customers over nations over regions."""
     c = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("src"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("dst"))
@@ -108,6 +112,7 @@ QUERIES = {
     "get_callees": (callees, _reach(150, 3)),
     "find_call_path": (call_path, f"WITH RECURSIVE {_E}, p AS (SELECT CAST(150 AS BIGINT) AS here, [CAST(150 AS BIGINT)] AS path UNION ALL SELECT e.dst, list_append(p.path, e.dst) FROM p JOIN e ON e.src = p.here WHERE len(p.path) < 4 AND NOT list_contains(p.path, e.dst) AND p.here <> 7), b AS (SELECT path FROM p WHERE here = 7 ORDER BY len(path), path LIMIT 1) SELECT CAST(generate_subscripts(path, 1) - 1 AS INTEGER) AS step, unnest(path) AS node FROM b"),
     "find_circular_imports": (cycles, f"WITH {_E} SELECT 1 AS length, [src] AS path FROM e WHERE src = dst UNION ALL SELECT 2, [a.src, a.dst] FROM e a JOIN e b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst"),
+    "find_import_components": (import_components, f"WITH RECURSIVE {_E}, i AS (SELECT src, dst FROM e WHERE src IN (SELECT dst FROM e) AND dst IN (SELECT src FROM e)), r AS (SELECT src AS a, dst AS b FROM i UNION SELECT r.a, i.dst FROM r JOIN i ON i.src = r.b) SELECT min(y.b) AS component, x.a AS node FROM r x JOIN r y ON x.a = y.a JOIN r z ON z.a = y.b AND z.b = x.a WHERE x.a = x.b GROUP BY x.a"),
     "topological_sort": (topological, "WITH n AS (SELECT n_nationkey, n_regionkey, CASE WHEN n_nationkey IN (SELECT c_nationkey FROM customer) THEN 1 ELSE 0 END AS level FROM nation) SELECT 'c' || c_custkey AS node, CAST(0 AS INTEGER) AS level FROM customer UNION ALL SELECT 'n' || n_nationkey, CAST(level AS INTEGER) FROM n UNION ALL SELECT 'r' || n_regionkey, CAST(1 + max(level) AS INTEGER) FROM n GROUP BY 1"),
     "graph_clusters": (clusters, "SELECT p_type || '/' || p_brand AS cluster, count(*) AS n_nodes, min(p_partkey) AS first_id, max(p_partkey) AS last_id FROM part GROUP BY 1"),
     "get_code_graph": (code_graph, f"WITH RECURSIVE {_E}, r AS (SELECT CAST(150 AS BIGINT) AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 3), n AS (SELECT node, min(depth) AS depth FROM r GROUP BY node ORDER BY depth, node LIMIT 100) SELECT src, dst FROM e WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)"),

@@ -189,3 +189,24 @@ def test_redaction_reads_every_document(spark, tmp_path):
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert got == dict(c.execute(catalog.ORACLE_SQL["redact_secrets_all"]).fetchall()) and len(got) == len(keys)
     assert all(got[i] != len(f"a {k} b\nc") for i, k in enumerate(keys[:9]))
+
+
+def test_strong_components_of_any_length(spark):
+    import random
+
+    import numpy as np
+
+    random.seed(3)
+    long = [(i, i + 1) for i in range(100, 120)] + [(120, 100)]  # one cycle of 21 nodes
+    pairs = long + [(7, 7), (1, 100), (120, 90), (None, 3)] + [(random.randint(200, 240), random.randint(200, 240)) for _ in range(50)]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    got = {(r.component, r.node) for r in graphs.strong_components(e).collect()}
+    m = np.zeros((260, 260), bool)
+    for a, b in pairs:
+        if a is not None:
+            m[a, b] = True
+    for k in range(260):
+        m |= np.outer(m[:, k], m[k])
+    assert got == {(min(j for j in range(260) if m[i, j] and m[j, i]), i) for i in range(260) if m[i, i]}
+    assert {(100, i) for i in range(100, 121)} | {(7, 7)} <= got
+    assert graphs.strong_components(e.where("src < 0")).count() == 0
