@@ -16,11 +16,13 @@ def severity_rank(severity: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.lower(severity)).cast("int") - 1, F.lit(1))
 
 
-def scan(lines: DataFrame, rules: list[dict], least: str = "low") -> DataFrame:
+def scan(lines: DataFrame, rules: list[dict], least: str = "low", every: bool = True) -> DataFrame:
     """Findings (rule_id, severity, path, line, col, snippet, cwe, owasp) of pattern and secret rules.
 
     Rules are data of bounded size, so they become one expression: an array of the matching rules of each line. A line is
-    read once for all rules; only lines with a match leave the scan. A safe pattern on the line clears a match. lines(path, line, text, language).
+    read once for all rules; only lines with a match leave the scan. Every match of a pattern on a line is a finding, secrets
+    by their own entropy; without every only the first one counts. A safe pattern on the line clears its matches. Matches
+    of no characters are none. lines(path, line, text, language).
     """
     low = SEVERITIES.index(least)
     made = []
@@ -34,18 +36,21 @@ def scan(lines: DataFrame, rules: list[dict], least: str = "low") -> DataFrame:
             safe = safe | F.col("text").rlike(p)
         if r.get("rule_type") == "crypto":
             safe = safe | is_comment_line(F.col("text"))
+        bound = float(r.get("threshold") or 0.0) if r.get("rule_type") == "secret" else None
+        strings = lambda x: F.array(*[F.lit(v) for v in x or []]).cast("array<string>")
         for p in r["patterns"]:
-            hit = F.regexp_substr("text", F.lit(p))
-            ok = fits & ~safe & hit.isNotNull()
-            if r.get("rule_type") == "secret":
-                ok = ok & (entropy(hit) >= float(r.get("threshold") or 0.0))
-            shown = redact_secret(hit) if r.get("rule_type") == "secret" else hit
-            strings = lambda x: F.array(*[F.lit(v) for v in x or []]).cast("array<string>")
-            made.append(F.when(ok, F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity"), F.instr("text", hit).alias("col"), shown.alias("snippet"), strings(r.get("cwe")).alias("cwe"), strings(r.get("owasp")).alias("owasp"))))
+            own = F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity"), F.lit(bound).cast("double").alias("bound"), strings(r.get("cwe")).alias("cwe"), strings(r.get("owasp")).alias("owasp"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("hits"), F.split("text", p, -1).alias("between"))
+            made.append(F.when(fits & ~safe & F.col("text").rlike(p), own))
     if not made:
         return lines.sparkSession.createDataFrame([], "rule_id string, severity string, path string, line int, col int, snippet string, cwe array<string>, owasp array<string>")
     found = lines.select("path", "line", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("f"))
-    return found.select("f.rule_id", "f.severity", "path", "line", "f.col", "f.snippet", "f.cwe", "f.owasp").dropDuplicates(["rule_id", "path", "line", "col"])
+    # a match stands behind the matches before it and what lies between them
+    hits = F.col("f.hits") if every else F.slice("f.hits", 1, 1)
+    before = lambda i: F.length(F.array_join(F.slice("f.between", 1, i + 1), "")) + F.length(F.array_join(F.slice("f.hits", 1, i), ""))
+    each = found.select("path", "line", "f", F.explode(F.transform(hits, lambda h, i: F.struct(h.alias("hit"), (before(i) + 1).alias("col")))).alias("m")).where("m.hit <> ''")
+    each = each.where(F.col("f.bound").isNull() | (entropy(F.col("m.hit")) >= F.col("f.bound")))
+    shown = F.when(F.col("f.bound").isNull(), F.col("m.hit")).otherwise(redact_secret(F.col("m.hit")))
+    return each.select("f.rule_id", "f.severity", "path", "line", "m.col", shown.alias("snippet"), "f.cwe", "f.owasp").dropDuplicates(["rule_id", "path", "line", "col"])
 
 
 def page(findings: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:

@@ -41,7 +41,12 @@ def security_summary(spark, d):
 
 def secrets(spark, d):
     lines = lines_of(files(spark, d)).withColumn("language", F.lit("text"))
-    return ru.scan(lines, SECRETS).select("path", "line", "snippet")
+    return ru.scan(lines, SECRETS, every=False).select("path", "line", "snippet")
+
+
+def secrets_all(spark, d):
+    lines = lines_of(files(spark, d)).withColumn("language", F.lit("text"))
+    return ru.scan(lines, SECRETS).select("path", "line", "col", "snippet")
 
 
 def redacted(spark, d):
@@ -193,6 +198,7 @@ QUERIES = {
     "check_owasp_top10": (owasp, f"WITH {_SCAN}, c AS (SELECT unnest(CASE rule_id WHEN 'WEB-001' THEN ['A02'] WHEN 'WEB-002' THEN ['A03'] ELSE ['A05', 'A03'] END) AS category, severity FROM f) SELECT category, severity, count(*) AS n FROM c GROUP BY ROLLUP (category, severity)"),
     "get_security_summary": (security_summary, f"WITH {_SCAN} SELECT rule_id, count(*) AS n, max(severity) AS risk FROM f GROUP BY 1"),
     "rule_secret": (secrets, "WITH ln AS (SELECT source || '/' || doc_id AS path, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line, unnest(string_split(text, chr(10))) AS t FROM documents), m AS (SELECT path, line, regexp_extract(t, '[a-f0-9]{40}') AS s FROM ln WHERE regexp_matches(t, '[a-f0-9]{40}')) SELECT path, line, left(s, 4) || '...' || right(s, 4) AS snippet FROM m WHERE (SELECT -sum(n / 40.0 * log2(n / 40.0)) FROM (SELECT count(*) AS n FROM (SELECT unnest(string_split(s, '')) AS ch) GROUP BY ch)) >= 3.0"),
+    "rule_secret_all": (secrets_all, "WITH ln AS (SELECT source || '/' || doc_id AS path, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line, unnest(string_split(text, chr(10))) AS t FROM documents), a AS (SELECT path, line, regexp_extract_all(t, '[a-f0-9]{40}') AS hits, regexp_split_to_array(t, '[a-f0-9]{40}') AS parts FROM ln WHERE regexp_matches(t, '[a-f0-9]{40}')), m AS (SELECT path, line, hits, parts, unnest(hits) AS s, generate_subscripts(hits, 1) AS i FROM a) SELECT path, line, CAST(1 + length(array_to_string(parts[1:i], '')) + 40 * (i - 1) AS INTEGER) AS col, left(s, 4) || '...' || right(s, 4) AS snippet FROM m WHERE (SELECT -sum(n / 40.0 * log2(n / 40.0)) FROM (SELECT count(*) AS n FROM (SELECT unnest(string_split(s, '')) AS ch) GROUP BY ch)) >= 3.0"),
     "redact_secrets": (redacted, "SELECT doc_id, length(regexp_replace(regexp_replace(text, 'AKIA[0-9A-Z]{16}', '[AWS_ACCESS_KEY_REDACTED]', 'g'), '(?i)(secret|token|key|credential|auth)([^\\n]*)[\"''][a-f0-9]{32,64}[\"'']', '\\1=[REDACTED]', 'g')) AS n_chars FROM documents WHERE regexp_matches(text, 'token')"),
     "redact_secrets_all": (redacted_all, _redacted_sql()),
     "calculate_entropy": (entropies, "SELECT c_custkey, round((SELECT -sum(n / strlen(c_name) * log2(n / strlen(c_name))) FROM (SELECT count(*) AS n FROM (SELECT unnest(string_split(c_name, '')) AS ch) GROUP BY ch)), 6) AS bits FROM customer"),

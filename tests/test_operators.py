@@ -210,3 +210,14 @@ def test_strong_components_of_any_length(spark):
     assert got == {(min(j for j in range(260) if m[i, j] and m[j, i]), i) for i in range(260) if m[i, i]}
     assert {(100, i) for i in range(100, 121)} | {(7, 7)} <= got
     assert graphs.strong_components(e.where("src < 0")).count() == 0
+
+
+def test_every_match_of_a_line_is_a_finding(spark):
+    good, weak = "0123456789abcdef" * 2 + "fedcba98", "a" * 40
+    lines = spark.createDataFrame([("p", 1, f"{weak} {good} x {good}", "text"), ("p", 2, "xeval( eval( eval(", "text"), ("p", 3, None, "text"), ("p", 4, "eval( ok", "text")], "path string, line int, text string, language string")
+    secret = {"id": "S", "severity": "critical", "rule_type": "secret", "patterns": ["[a-f0-9]{40}"], "threshold": 3.0}
+    word = {"id": "E", "severity": "high", "patterns": [r"\beval\(", "eval"], "safe_patterns": ["ok"]}
+    got = sorted((r.rule_id, r.line, r.col, r.snippet) for r in rules.scan(lines, [secret, word]).collect())
+    assert [g[:3] for g in got] == [("E", 2, 2), ("E", 2, 8), ("E", 2, 14), ("S", 1, 42), ("S", 1, 85)] and got[-1][3] == "0123...ba98"
+    assert [(r.line, r.col) for r in rules.scan(lines, [word], every=False).collect() if r.col > 2] == [(2, 8)]
+    assert rules.scan(lines, [secret], every=False).count() == 0
