@@ -10,7 +10,8 @@ n-grams is the order of the hashes, so every set is a path from the root of a tr
    parts; H differences leave at least one non-empty part alike, so linked sets share the
    digest of some part. Parts are dealt out by digest in packed rows and counted. A set does
    without its commonest parts as long as H + 1 are left to it: the rarest part that two linked
-   sets share is among those of both. Classes that still share a part form a family.
+   sets share is among those of both. A set of at most H non-empty parts lists its empty ones too and
+   keeps every non-empty one: a linked set that lists no empty part shares one of those with it. Classes that still share a part form a family.
 3. Within a family and size class the sets form a trie. Each set walks it level by level:
    nodes carry the overlap so far, shared by all sets below, and a subtree goes when
    the n-grams left on either side cannot reach the overlap a link needs. Large
@@ -99,8 +100,8 @@ def class_range(sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.n
     return np.searchsorted(TOPS, sizes), np.searchsorted(TOPS, sizes * den // num)
 
 
-def parts(x: np.ndarray, bounds: np.ndarray, cls: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Digests of each set's parts in the given class (its number in the low six bits), and the set of each."""
+def parts(x: np.ndarray, bounds: np.ndarray, cls: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests of each set's parts in the given class (its number in the low six bits), the set of each, and whether the part is empty."""
     most = most_differences(cls, num, den)
     m = (most + 3 + most // 8).astype(U64)
     size = np.diff(bounds)
@@ -111,12 +112,13 @@ def parts(x: np.ndarray, bounds: np.ndarray, cls: np.ndarray, num: int, den: int
     at = np.flatnonzero(new)
     sums = _sums(ws.mix(x ^ U64(0x8EBC6AF09C88C6E3)), np.append(at, len(x)))
     part, row = part[at], row[at]
+    full = len(part)
     few = np.flatnonzero((np.bincount(row, minlength=len(size)) <= most) & (size > 0))
     for i in few:  # too many empty parts: those count as well
         empty = np.setdiff1d(np.arange(int(m[i]), dtype=U64), part[row == i])
         sums, part, row = np.append(sums, np.zeros(len(empty), U64)), np.append(part, empty), np.append(row, np.full(len(empty), i))
     salt = cls[row].astype(U64)
-    return ws.mix(sums + part * ws.SHINGLE[7] + salt * ws.SHINGLE[9]) & ~U64(63) | salt, row
+    return ws.mix(sums + part * ws.SHINGLE[7] + salt * ws.SHINGLE[9]) & ~U64(63) | salt, row, np.arange(len(row)) >= full
 
 
 def _describe(n: int, fold_case: bool, num: int, den: int) -> Mapper:
@@ -143,12 +145,13 @@ def _deal(n: int, fold_case: bool, num: int, den: int, buckets: int) -> Mapper:
                 found, whose, spare = [], [], []
                 for step in range(int((last - first).max(initial=0)) + 1):
                     cls = np.minimum(first + step, len(TOPS) - 1)
-                    p, row = parts(x, bounds, cls, num, den)
+                    p, row, empty = parts(x, bounds, cls, num, den)
                     fits = (first + step <= last)[row]
                     left = np.bincount(row, minlength=len(first)) - most_differences(cls, num, den) - 1
+                    has_empty = np.bincount(row[empty], minlength=len(first)) > 0
                     found.append(p[fits])
                     whose.append(key[row[fits]])
-                    spare.append(left[row[fits]])
+                    spare.append(np.where(has_empty[row] & ~empty, 0, left[row])[fits])
                 p, k, room = np.concatenate(found), np.concatenate(whose), np.concatenate(spare).astype(np.int32)
                 bucket = ((p >> U64(40)) % U64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")

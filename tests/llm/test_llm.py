@@ -10,6 +10,7 @@ import pytest
 
 from lodestone.llm import chat, extract, fm_dedup, ngram_join, packing, pieces, pii, quality, topk, toxicity
 from lodestone.llm import queries as q
+from lodestone.llm import wordscan as ws
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "one"), (5, "one"), (None, "lost words here"), (6, "x" * 5000), (7, "é ü " * 3000), (8, "Mail me: a.b@c.org or +1 (017) 555-7713\r\nok")]
@@ -86,6 +87,19 @@ def test_trie_walk_finds_all_links():
         assert {trie.order[i] for i in ngram_join.walk(trie, x, 90, 100)} == want
 
 
+def test_join_keeps_parts_of_sets_in_few_parts(spark):
+    """A set of six n-grams in two of five parts, and its superset in three: nothing else shares the empty ones."""
+    for i in range(2000):
+        words = [f"w{i}x{j}" for j in range(11)]
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        x = ws.shingles(ws.hashes(data, *ws.words(data, np.array([0, len(data)]))[:2]), 5)
+        part = ((x >> np.uint64(32)) * np.uint64(5)) >> np.uint64(32)
+        if len(set(part[:6])) == 2 and len(set(part)) == 3:
+            break
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:10]))], "doc_id long, text string")
+    assert {tuple(r) for r in ngram_join.ngram_jaccard_join(df, n=5, num=80).collect()} == {(1, 7, 1), (2, 6, 1)}
+
+
 def test_join_odd_rows(odd):
     got = sorted(map(tuple, ngram_join.ngram_jaccard_join(odd, n=3, num=90).collect()), key=str)
     assert len(got) == len(ODD) and (1, 0, 1) in got and (5, 1, 4) in got and any(r[0] is None and r[2] is None for r in got)
