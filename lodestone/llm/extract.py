@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +33,13 @@ GROUPS = [{"p"}, {"li"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"article", "main
 FURNITURE = frozenset("ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs footer header masthead sidebar side aside widget related share sharing social comment comments disqus reply replies notice cookie consent popup modal newsletter subscribe signup login search form pagination pager copyright legal alert toolbar dialog complementary contentinfo".split())
 MAIN = frozenset("article content main post entry story body text prose articlebody".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>\"']*+(?:\"[^\"<]*+\"[^<>\"']*+|'[^'<]*+'[^<>\"']*+)*+)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)")
+_MARK = re.compile(r"[>\"']")
+_ZEROS = re.compile(r"&#0+(?=[0-9])")
+_HUGE = re.compile(r"&#[0-9]{8,}")
+#: Depth of the tree; what is opened deeper stands beside the node of that depth, as in browsers.
+DEEPEST = 512
 _ATTR = re.compile(r"(class|id|role|itemprop|aria-label|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -53,17 +60,93 @@ class Node:
                 self.tokens.update(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
 
 
+class Markup:
+    """The tags and comments of a page, in linear time.
+
+    A '<' whose tag never closes is text. What was looked for in vain is remembered, so no stretch is read over and over.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.missing: dict[str, int] = {}
+        self.dead: set[int] = set()  # quotes and ends from which no tag closes
+
+    def find(self, what: str, at: int) -> int:
+        if at >= self.missing.get(what, len(self.page) + 1):
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing[what] = at
+        return found
+
+    def _tag_end(self, at: int) -> int:
+        """The end of a tag whose name ends at at, quoted values passed over; -1 without one."""
+        passed = []
+        while m := _MARK.search(self.page, at) if self.find(">", at) >= 0 else None:
+            if m[0] == ">":
+                return m.end()
+            if m.start() in self.dead:
+                break
+            passed.append(m.start())
+            close = self.find(m[0], m.end())
+            if close < 0:
+                break
+            at = close + 1
+        self.dead.update(passed)
+        return -1
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, kind, name, rest) of the next tag, comment or section from at on; kinds are open, close, none and cdata."""
+        page = self.page
+        while (at := self.find("<", at)) >= 0:
+            if m := _PLAIN.match(page, at):
+                return at, m.end(), "close" if m[1] else "open", m[2].lower(), m[3]
+            end, kind, name, rest = -1, "none", "", ""
+            if page.startswith("<!--", at):
+                end = self.find("-->", at + 4)
+                end = len(page) if end < 0 else end + 3
+            elif page.startswith("<![CDATA[", at) and (end := self.find("]]>", at + 9)) >= 0:
+                kind, rest, end = "cdata", page[at + 9 : end], end + 3
+            elif page.startswith(("<!", "<?"), at):
+                end = self.find(">", at) + 1 or -1
+            elif m := _NAME.match(page, at):
+                end = self._tag_end(m.end())
+                kind, name, rest = "close" if m[1] else "open", m[2].lower(), page[m.end() : max(end - 1, m.end())]
+            if end >= 0:
+                return at, end, kind, name, rest
+            at += 1
+        return None
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """The end of the tag that closes raw content, or -1."""
+        if at >= self.missing.get(f"</{tag}", len(self.page) + 1):
+            return -1
+        m = re.compile(rf"</{tag}\s*+>", re.I).search(self.page, at)
+        if not m:
+            self.missing[f"</{tag}"] = at
+        return m.end() if m else -1
+
+
+def plain(text: str) -> str:
+    """Text with its references decoded; a reference to a number beyond all characters is the replacement character."""
+    if "&#" in text:
+        text = _HUGE.sub("&#99999999", _ZEROS.sub("&#", text))
+    return _SPACE.sub(" ", html.unescape(text)).strip()
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """Nodes in page order, and the text blocks, each with the block node it stands in."""
     root = Node("html", None)
     nodes, blocks, stack = [root], [], [root]
     held: list[str] = []
+    opened: Counter[str] = Counter()
     linked = link_depth = 0
+    markup = Markup(page)
 
     def flush() -> None:
         nonlocal linked
         if held:
-            text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
+            text = plain("".join(held))
             held.clear()
             if text:
                 blocks.append((stack[-1], text))
@@ -72,27 +155,32 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 node.links += min(linked, len(text))
         linked = 0
 
+    def shut_from(i: int) -> None:
+        for x in stack[i:]:
+            opened[x.tag] -= 1
+        del stack[i:]
+
     at = 0
     while True:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
+        token = markup.after(at)
+        text = page[at : token[0] if token else len(page)]
         if text:
             held.append(text)
             if link_depth:
                 linked += len(text.strip())
-        if not m:
+        if not token:
             break
-        at = m.end()
-        if m[3] is None:
-            if m[1] is not None:
-                held.append(html.escape(m[1], quote=False))
+        _, at, kind, tag, rest = token
+        if kind in ("none", "cdata"):
+            if kind == "cdata":
+                held.append(html.escape(rest, quote=False))
             continue
-        tag, closing = m[3].lower(), bool(m[2])
+        closing = kind == "close"
         if tag in RAW:
-            if not closing and not m[4].rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                if end:
-                    at = end.end()
+            if not closing and not rest.rstrip().endswith("/"):
+                end = markup.raw_end(tag, at)
+                if end >= 0:
+                    at = end
                 elif tag in ("script", "style", "title"):
                     at = len(page)
             continue
@@ -111,23 +199,26 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             continue
         link_depth = 0
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                shut_from(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         shut = CLOSES.get(tag, {"p"} if tag not in ("label", "button", "select") else set())
         for i in range(len(stack) - 1, 0, -1):
+            if not any(opened[t] for t in shut):
+                break
             if stack[i].tag in shut:
-                del stack[i:]
+                shut_from(i)
                 if tag not in ("tr", "td", "th", "dd", "dt", "li"):
                     break
             elif stack[i].tag in BARRIER.get(tag, ()) or tag not in BARRIER:
                 break
-        node = Node(tag, stack[-1], m[4])
+        if len(stack) > DEEPEST:
+            shut_from(DEEPEST)
+        node = Node(tag, stack[-1], rest)
         stack[-1].kids.append(node)
         nodes.append(node)
         stack.append(node)
+        opened[tag] += 1
     flush()
     return nodes, blocks
 

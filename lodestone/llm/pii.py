@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import Mapper
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+# a match can only begin where a run of digits does, and its runs need not be given back
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+CARD = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ANCHOR = re.compile(r"[0-9@]")
 WINDOW, STRIDE = 96, 48
@@ -46,13 +48,32 @@ def _digits(s: str) -> str:
     return re.sub(r"[^0-9]", "", s)
 
 
-def base_spans(text: str) -> list[Span]:
-    """(kind, start, end) of the fixed patterns: leftmost, not overlapping within a kind, by kind and start."""
+def email_spans(text: str) -> list[Span]:
+    """Leftmost addresses, found from each '@' outwards: every stretch between two '@' is read once."""
     found: list[Span] = []
-    if "@" in text:
-        found += [(0, *m.span()) for m in EMAIL.finditer(text)]
+    end, at = 0, text.find("@")
+    while at >= 0:
+        m = DOMAIN.match(text, at)
+        if m:
+            begin = end + len(text[end:at].rstrip(LOCAL))
+            if begin < at:
+                found.append((0, begin, m.end()))
+                end = m.end()
+        following = text.find("@", at + 1)
+        end, at = max(end, at + 1) if following >= 0 else end, following
+    return found
+
+
+def _octet(part: str) -> bool:
+    rest = part.lstrip("0")
+    return len(rest) <= 3 and int(rest or 0) <= 255
+
+
+def base_spans(text: str) -> list[Span]:
+    """(kind, start, end) of the fixed patterns: leftmost, not overlapping within a kind, by kind and start. Linear in the text."""
+    found = email_spans(text)
     if ANCHOR.search(text):
-        found += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [(1, *m.span()) for m in IP.finditer(text) if all(map(_octet, m[0].split(".")))]
         found += [(2, *m.span()) for m in CARD.finditer(text) if 13 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         found += [(3, *m.span()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15] if "+" in text else []
     return found
@@ -189,7 +210,7 @@ def viterbi(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """Best tags of one stretch (time, tags); an inside tag follows only its own begin or inside."""
     t, k = emit.shape
     step = trans + _ALLOWED
-    score, back = emit[0] + np.where(np.arange(k) % 2 == 0, np.where(np.arange(k) > 0, -1e9, 0), 0), np.empty((t, k), np.int64)
+    score, back = emit[0] + np.where(np.arange(k) % 2 == 0, np.where(np.arange(k) > 0, -1e9, 0), 0), np.empty((t, k), np.int8)
     for i in range(1, t):
         s = score[:, None] + step
         back[i] = s.argmax(axis=0)
@@ -280,11 +301,10 @@ def tagger(batches: int = 100, size: int = 48, seed: int = 7) -> Tagger:
 def window_starts(text: str) -> list[int]:
     """Starts of the windows that hold a digit or an '@', on a grid of STRIDE."""
     last = max(0, -(-(len(text) - WINDOW) // STRIDE))
-    found: set[int] = set()
-    for m in ANCHOR.finditer(text):
-        i = m.start()
-        found.update(range(max(0, -(-(i - WINDOW + 1) // STRIDE)), min(last, i // STRIDE) + 1))
-    return [s * STRIDE for s in sorted(found)]
+    cells = np.unique(np.array([m.start() // STRIDE for m in ANCHOR.finditer(text)], np.int64))
+    # a cell lies in the window that begins with it and in those before it that reach it
+    starts = np.unique((cells[:, None] - np.arange(WINDOW // STRIDE)).clip(0, last))
+    return (starts * STRIDE).tolist()
 
 
 _WEIGHT = 1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
@@ -338,9 +358,14 @@ _FORMS = (
     re.compile(r"(\+|00)?[0-9]*[ .-]?(\([0-9]{2,5}\))?[0-9]*([ .-][0-9]+)+"),
 )
 
+#: No number of 19 digits, blanks and marks between them included, is longer.
+LONGEST = 48
+
 
 def sound(text: str, span: Span) -> bool:
     kind, a, b = span
+    if kind and b - a > LONGEST:
+        return False
     s = text[a:b]
     if not _FORMS[kind].fullmatch(s) or (a and text[a - 1].isalnum() and text[a].isalnum()) or (b < len(text) and text[b].isalnum()):
         return False
@@ -357,7 +382,9 @@ def all_spans(texts: list[str], net: Tagger) -> tuple[list[list[Span]], list[lis
     base = [base_spans(t) for t in texts]
     whole = []
     for text, mine, more in zip(texts, base, network_spans(texts, net)):
-        taken = list(mine)
+        taken, held = list(mine), sorted((a, b) for _, a, b in mine)
+        reach = np.maximum.accumulate([b for _, b in held]) if held else np.zeros(0, int)
+        begins, last = np.array([a for a, _ in held], int), 0
         for span in more:
             a, b = span[1], span[2]
             while a < b and text[a] in " .,;:\n-":
@@ -365,8 +392,10 @@ def all_spans(texts: list[str], net: Tagger) -> tuple[list[list[Span]], list[lis
             while a < b and text[b - 1] in " .,;:\n-":
                 b -= 1
             span = (span[0], a, b)
-            if a < b and not any(x < b and a < y for _, x, y in taken) and sound(text, span):
+            before = int(np.searchsorted(begins, b)) - 1  # spans that begin before this one's end
+            if a < b and a >= last and (before < 0 or reach[before] <= a) and sound(text, span):
                 taken.append(span)
+                last = b
         whole.append(sorted(taken))
     return base, whole
 
