@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
@@ -120,4 +122,40 @@ def crc_fold(column: str = "doc_id", folds: int = 5) -> str:
     return f"pmod(crc32(cast({column} as string)), {folds})"
 
 
+def even_labels(parts: int) -> np.ndarray:
+    """An int for each of so many parts, such that Spark's hash partitioning (murmur3 of an int, seed 42) deals each to a partition of its own."""
+    found = np.full(parts, -1, np.int64)
+    at = 0
+    while (found < 0).any():
+        label = np.arange(at, at + max(1024, parts), dtype=np.uint32)
+        at += len(label)
+        with np.errstate(over="ignore"):
+            h = label * np.uint32(0xCC9E2D51)
+            h = np.uint32(42) ^ ((h << np.uint32(15) | h >> np.uint32(17)) * np.uint32(0x1B873593))
+            h = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64)
+            h ^= np.uint32(4)
+            h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+            h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+            h ^= h >> np.uint32(16)
+        part, first = np.unique(h.view(np.int32).astype(np.int64) % parts, return_index=True)
+        new = found[part] < 0
+        found[part[new]] = label[first[new]]
+    return found.astype(np.int32)
+
+
+def join_hot(rows: DataFrame, per_key: DataFrame, on: list[str], count: str, how: str = "inner", least: int = 5000) -> DataFrame:
+    """rows joined with per_key, which has one row for each key and says in count how many of rows hold it.
+
+    Keys that more than a 256th of all rows hold (and more than least) are fewer than 256: these, and only these, are broadcast, so
+    that no task gets all rows of a hot key. per_key should be a written table, as it is read more than once.
+    """
+    total, top = per_key.agg(F.sum(count), F.max(count)).first()
+    most = max(least, (total or 0) // 256)
+    if (top or 0) <= most:
+        return rows.join(per_key.drop(count), on, how)
+    hot = per_key.where(F.col(count) > most)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(per_key.where(F.col(count) <= most).drop(count), on, how)
+    return rows.join(F.broadcast(hot.drop(count)), on).unionByName(cold)
+
+
 Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

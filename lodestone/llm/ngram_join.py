@@ -1,22 +1,20 @@
 """N-gram Jaccard join by prefix trees.
 
-A text's set holds the 64-bit hashes of its distinct word n-grams. The global order of
-n-grams is the order of the hashes, so every set is a path from the root of a trie.
-
-1. One pass gives every row its set's size and 128-bit digest. Rows with equal sets
-   are one class from then on.
-2. Blocking without loss. Two linked sets differ in at most H n-grams, H following from
-   the threshold and the size class. A class's order is cut at fixed places into more than H
-   parts; H differences leave at least one non-empty part alike, so linked sets share the
-   digest of some part. Parts are dealt out by digest in packed rows and counted. A set does
-   without its commonest parts as long as H + 1 are left to it: the rarest part that two linked
-   sets share is among those of both. A set of at most H non-empty parts lists its empty ones too and
-   keeps every non-empty one: a linked set that lists no empty part shares one of those with it. Classes that still share a part form a family.
-3. Within a family and size class the sets form a trie. Each set walks it level by level:
+A text's set holds the 64-bit hashes of its distinct word n-grams. Rows with equal sets are one class from the first
+pass on, which gives every row its set's size and 128-bit digest.
+
+1. The global order of n-grams is (number of classes that hold it, at most 255; hash). Every class deals its n-grams out once, by
+   hash; n-grams of two classes or more go back to their classes with that number.
+2. Two linked sets share at least ceil(num / den * size) n-grams of either, so the first n-gram that they share
+   is among the first size - ceil(num / den * size) + 1 of each. N-grams of one class come first in the order; a class with too
+   many of them can have no link and goes. The others keep their shared n-grams and that prefix of them.
+3. Classes that share an n-gram of their prefixes and whose sizes allow a link form families, by components of chains: one chain
+   for each n-gram, in order of size.
+4. Within a family and size class the sets form a trie. Each set walks it level by level:
    nodes carry the overlap so far, shared by all sets below, and a subtree goes when
    the n-grams left on either side cannot reach the overlap a link needs. Large
    families are dealt out as pairs of blocks of bounded size.
-4. Components over the links found give the result.
+5. Components over the links found give the result.
 
 No link between different sets is lost and none is added, but for collisions
 of 64-bit hashes. Sub-trees whose sets are all in one component with the query are passed
@@ -33,13 +31,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import wordscan as ws
-from lodestone.llm.common import Mapper, cut, grouped, list_array, text_chunks
+from lodestone.llm.common import Mapper, cut, even_labels, grouped, join_hot, text_chunks
 from lodestone.llm.components import components
 
 #: Ratio of the largest to the smallest set of a size class.
 CLASS_RATIO = 1.5
 #: n-grams of one block of a large family: what one task holds at a time is twice that.
 BLOCK_NGRAMS = 500_000
+#: n-grams that one bucket holds, about.
+BUCKET_NGRAMS = 1_500_000
 #: Longest run of n-grams in a node of a trie.
 LABEL = 48
 U64 = np.uint64
@@ -56,11 +56,6 @@ def _size_classes() -> np.ndarray:
 TOPS = _size_classes()
 
 
-def most_differences(cls: np.ndarray, num: int, den: int) -> np.ndarray:
-    """n-grams in which two linked sets that meet in a class can differ."""
-    return 2 * TOPS[cls] * (den - num) // (den + num)
-
-
 def sets_of(data: np.ndarray, offs: np.ndarray, n: int, fold_case: bool) -> tuple[np.ndarray, np.ndarray]:
     """The sorted sets of all rows, one after another, and their n + 1 bounds.
 
@@ -95,97 +90,180 @@ def digests(x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _sums(ws.mix(x + U64(0xA0761D6478BD642F)), bounds).view(np.int64), _sums(ws.mix(x ^ U64(0xE7037ED1A0B428DB)), bounds).view(np.int64)
 
 
-def class_range(sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last class in which a set of each size can meet linked ones: its own, and those of larger partners."""
-    return np.searchsorted(TOPS, sizes), np.searchsorted(TOPS, sizes * den // num)
-
-
-def parts(x: np.ndarray, bounds: np.ndarray, cls: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digests of each set's parts in the given class (its number in the low six bits), the set of each, and whether the part is empty."""
-    most = most_differences(cls, num, den)
-    m = (most + 3 + most // 8).astype(U64)
-    size = np.diff(bounds)
-    row = np.repeat(np.arange(len(size)), size)
-    part = ((x >> U64(32)) * m[row]) >> U64(32)
-    new = np.ones(len(x), bool)
-    new[1:] = (part[1:] != part[:-1]) | (row[1:] != row[:-1])
-    at = np.flatnonzero(new)
-    sums = _sums(ws.mix(x ^ U64(0x8EBC6AF09C88C6E3)), np.append(at, len(x)))
-    part, row = part[at], row[at]
-    full = len(part)
-    few = np.flatnonzero((np.bincount(row, minlength=len(size)) <= most) & (size > 0))
-    for i in few:  # too many empty parts: those count as well
-        empty = np.setdiff1d(np.arange(int(m[i]), dtype=U64), part[row == i])
-        sums, part, row = np.append(sums, np.zeros(len(empty), U64)), np.append(part, empty), np.append(row, np.full(len(empty), i))
-    salt = cls[row].astype(U64)
-    return ws.mix(sums + part * ws.SHINGLE[7] + salt * ws.SHINGLE[9]) & ~U64(63) | salt, row, np.arange(len(row)) >= full
-
-
-def _describe(n: int, fold_case: bool, num: int, den: int) -> Mapper:
+def _describe(n: int, fold_case: bool) -> Mapper:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in text_chunks(batch, "__text"):
                 x, bounds = sets_of(data, offs, n, fold_case)
                 one, two = digests(x, bounds)
-                size = np.diff(bounds)
-                yield pa.record_batch([batch.column("__id").slice(lo, hi - lo), pa.array(size), pa.array(one), pa.array(two)], names=["__id", "__size", "__h1", "__h2"])
+                kept = [batch.column(c).slice(lo, hi - lo) for c in ("__id", "__row")]
+                yield pa.record_batch([*kept, pa.array(np.diff(bounds)), pa.array(one), pa.array(two)], names=["__id", "__row", "__size", "__h1", "__h2"])
 
     return run
 
 
-def _deal(n: int, fold_case: bool, num: int, den: int, buckets: int) -> Mapper:
-    """Packed rows of (part, class) by bucket."""
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Places where any of the columns changes."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _runs_of_keys(bucket: np.ndarray, key: np.ndarray, size: np.ndarray, labels: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket; a key and its size stand once for all its neighbouring n-grams."""
+    at = _heads(bucket, key)
+    n = np.diff(np.append(at, len(key))).astype(np.int32)
+    first = _heads(bucket[at])
+    ends = np.append(first[1:], len(at))
+    rows = np.append(at, len(key))
+    packed = {name: [v[rows[a] : rows[b]].tobytes() for a, b in zip(first, ends)] for name, v in more.items()}
+    packed |= {name: [v[a:b].tobytes() for a, b in zip(first, ends)] for name, v in (("key", key[at]), ("size", size[at].astype(np.int32)), ("n", n))}
+    return pa.record_batch([pa.array(labels[bucket[at[first]]], pa.int32()), *(pa.array(v, pa.binary()) for v in packed.values())], names=["bucket", *packed])
+
+
+def _unpacked(rows: pa.Table, **kinds: type) -> list[np.ndarray]:
+    return [np.concatenate([np.frombuffer(v.as_buffer(), kind) for c in rows.column(name).chunks for v in c]) for name, kind in kinds.items()]
+
+
+def _place(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes.view(U64) >> U64(24)) % U64(buckets)).astype(np.int32)
+
+
+def _deal(n: int, fold_case: bool, buckets: int) -> Mapper:
+    """The n-grams of every class, once a task, by bucket of the n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, seen = even_labels(buckets), set()
         for batch in batches:
             for _, _, data, offs in text_chunks(batch, "__text"):
                 x, bounds = sets_of(data, offs, n, fold_case)
-                key = digests(x, bounds)[0]
-                first, last = class_range(np.diff(bounds), num, den)
-                found, whose, spare = [], [], []
-                for step in range(int((last - first).max(initial=0)) + 1):
-                    cls = np.minimum(first + step, len(TOPS) - 1)
-                    p, row, empty = parts(x, bounds, cls, num, den)
-                    fits = (first + step <= last)[row]
-                    left = np.bincount(row, minlength=len(first)) - most_differences(cls, num, den) - 1
-                    has_empty = np.bincount(row[empty], minlength=len(first)) > 0
-                    found.append(p[fits])
-                    whose.append(key[row[fits]])
-                    spare.append(np.where(has_empty[row] & ~empty, 0, left[row])[fits])
-                p, k, room = np.concatenate(found), np.concatenate(whose), np.concatenate(spare).astype(np.int32)
-                bucket = ((p >> U64(40)) % U64(buckets)).astype(np.int64)
-                by = np.argsort(bucket, kind="stable")
-                p, k, room, bucket = p[by], k[by], room[by], bucket[by]
-                at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(p) else np.zeros(0, int)
-                ends = np.append(at[1:], len(p))
-                yield pa.record_batch([pa.array(bucket[at]), *(pa.array([v[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()) for v in (p, k, room))], names=["bucket", "part", "key", "room"])
+                key, size = digests(x, bounds)[0], np.diff(bounds)
+                fresh = np.array([s > 0 and not (k in seen or seen.add(k)) for k, s in zip(key.tolist(), size.tolist())], bool)
+                row = np.repeat(np.arange(len(size)), size)
+                x, row = x[fresh[row]], row[fresh[row]]
+                if len(x):
+                    bucket = _place(x, buckets)
+                    by = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+                    row = row[by]
+                    yield _runs_of_keys(bucket[by], key[row], size[row], labels, x=x[by])
+
+    return run
+
+
+def _count(buckets: int) -> Mapper:
+    """N-grams of two classes or more with the number of classes, by bucket of the class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = even_labels(buckets)
+        for rows in grouped(batches, ["bucket"]):
+            x, key, size, n = _unpacked(rows, x=U64, key=np.int64, size=np.int32, n=np.int32)
+            key, size = np.repeat(key, n), np.repeat(size, n)
+            by = np.lexsort((key, x))
+            x, key, size = x[by], key[by], size[by]
+            at = _heads(x, key)
+            x, key, size = x[at], key[at], size[at]
+            at = _heads(x)
+            held = np.diff(np.append(at, len(x)))
+            held = np.repeat(held, held)
+            keep = held > 1
+            x, key, size, held = x[keep], key[keep], size[keep], np.minimum(held[keep], 255).astype(np.uint8)
+            if len(x):
+                bucket = _place(key, buckets)
+                by = np.lexsort((key, bucket))
+                yield _runs_of_keys(bucket[by], key[by], size[by], labels, x=x[by], held=held[by])
+
+    return run
+
+
+def _gather(num: int, den: int) -> Mapper:
+    """(key, size, set, prefix) of the classes that can have a link: their shared n-grams by hash, and the first of them in the global order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, ["bucket"]):
+            x, held, key, size, n = _unpacked(rows, x=U64, held=np.uint8, key=np.int64, size=np.int32, n=np.int32)
+            key, size = np.repeat(key, n), np.repeat(size, n).astype(np.int64)
+            by = np.lexsort((x, held, key))
+            x, key, size = x[by], key[by], size[by]
+            at = _heads(key)
+            shared = np.diff(np.append(at, len(key)))
+            first = shared - -(-num * size[at] // den) + 1  # n-grams of this class alone come before all of these
+            able = np.flatnonzero(first > 0)
+            for lo in range(0, len(able), 2000):
+                part = able[lo : lo + 2000]
+                sets = [x[at[i] : at[i] + shared[i]] for i in part]
+                prefixes = [s[: first[i]].tobytes() for s, i in zip(sets, part)]
+                yield pa.record_batch([pa.array(key[at[part]]), pa.array(size[at[part]]), pa.array(shared[part]), pa.array([np.sort(s).tobytes() for s in sets], pa.binary()), pa.array(prefixes, pa.binary())], names=["key", "size", "shared", "set", "prefix"])
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of two classes or more: (part, key, room, n)."""
-    for rows in grouped(batches, ["bucket"]):
-        p, k, room = (np.concatenate([np.frombuffer(v.as_buffer(), t) for c in rows.column(name).chunks for v in c]) for name, t in (("part", U64), ("key", np.int64), ("room", np.int32)))
-        by = np.lexsort((k, p))
-        p, k, room = p[by], k[by], room[by]
-        new = np.ones(len(p), bool)
-        new[1:] = (p[1:] != p[:-1]) | (k[1:] != k[:-1])
-        p, k, room = p[new], k[new], room[new]
-        at = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-        n = np.diff(np.append(at, len(p)))
-        keep, n = np.repeat(n > 1, n), np.repeat(n, n)
-        for a in range(0, int(keep.sum()), 50_000):
-            at = np.flatnonzero(keep)[a : a + 50_000]
-            yield pa.record_batch([pa.array(p[at].view(np.int64)), pa.array(k[at]), pa.array(room[at]), pa.array(n[at])], names=["part", "key", "room", "n"])
+def _post(buckets: int) -> Mapper:
+    """The prefixes by bucket of the n-gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = even_labels(buckets)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            prefixes = [np.frombuffer(v.as_buffer(), U64) for v in batch.column("prefix")]
+            n = np.array([len(p) for p in prefixes])
+            x, key, size = np.concatenate(prefixes), np.repeat(batch.column("key").to_numpy(), n), np.repeat(batch.column("size").to_numpy(), n)
+            bucket = _place(x, buckets)
+            by = np.argsort(bucket, kind="stable")
+            yield _runs_of_keys(bucket[by], key[by], size[by], labels, x=x[by])
+
+    return run
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges that join what the edges (a, b) join, each vertex to the least of its component."""
+    up: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        top = v
+        while (above := up.get(top, top)) != top:
+            top = above
+        while v != top:
+            up[v], v = top, up[v]
+        return top
+
+    pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+    for v, w in pairs.tolist():
+        v, w = root(v), root(w)
+        up.setdefault(v, v)
+        up.setdefault(w, w)
+        up[max(v, w)] = min(v, w)
+    edges = [(root(v), v) for v in up if root(v) != v]
+    return [r for r, _ in edges], [v for _, v in edges]
+
+
+def _chains(num: int, den: int) -> Mapper:
+    """(a, b): classes next to each other in size among those that share an n-gram of their prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, ["bucket"]):
+            x, key, size, n = _unpacked(rows, x=U64, key=np.int64, size=np.int32, n=np.int32)
+            key, size = np.repeat(key, n), np.repeat(size, n).astype(np.int64)
+            by = np.lexsort((key, size, x))
+            x, key, size = x[by], key[by], size[by]
+            at = np.flatnonzero((x[1:] == x[:-1]) & (den * size[:-1] >= num * size[1:]))
+            if len(at):
+                a, b = _forest(key[at], key[at + 1])
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
 
 
 class Trie:
     """A path-compressed trie over sorted sets, walked one level at a time."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray | None = None):
+        """sizes are those of the whole sets, where sets hold only the n-grams that others may share."""
         self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-        self.sizes = np.array([len(sets[i]) for i in self.order])
+        self.lens = np.array([len(sets[i]) for i in self.order])
+        self.sizes = self.lens if sizes is None else np.asarray(sizes)[self.order]
         # a node: rows a..b of the order, whose paths agree from depth to stop
         nodes: list[tuple[int, int, int, int]] = []
         first_kid, n_kids = [], []
@@ -211,6 +289,8 @@ class Trie:
         self.labels = np.concatenate(labels) if labels else np.zeros(0, U64)
         self.least = np.array([self.sizes[a:b].min() for a, b, _, _ in nodes])
         self.most = np.array([self.sizes[a:b].max() for a, b, _, _ in nodes])
+        self.short = np.array([self.lens[a:b].min() for a, b, _, _ in nodes])
+        self.long = np.array([self.lens[a:b].max() for a, b, _, _ in nodes])
 
     def _split(self, sets: list[np.ndarray], a: int, b: int, depth: int) -> list[tuple[int, int]]:
         """Runs of rows a..b by their n-gram at depth; rows that end there are no run."""
@@ -219,21 +299,19 @@ class Trie:
         return [(a + p, a + q) for p, q in zip(cuts, cuts[1:]) if key[p] >= 0]
 
 
-def walk(trie: Trie, x: np.ndarray, num: int, den: int, settled: np.ndarray | None = None) -> np.ndarray:
-    """Ordinals (in the trie's order) of the sets linked with x.
+def walk(trie: Trie, x: np.ndarray, num: int, den: int, settled: np.ndarray | None = None, size: int | None = None) -> np.ndarray:
+    """Ordinals (in the trie's order) of the sets linked with x, whose whole set has size n-grams.
 
     settled marks sets that need no look: a subtree of nothing else is passed over.
     """
     hits = []
     node, so_far = trie.roots, np.zeros(len(trie.roots), int)
     open_sets = None if settled is None else np.concatenate(([0], np.cumsum(~settled)))
-    size = len(x)
+    n_x, size = len(x), len(x) if size is None else size
     while len(node):
         if open_sets is not None:
             live = open_sets[trie.hi[node]] > open_sets[trie.lo[node]]
             node, so_far = node[live], so_far[live]
-            if not len(node):
-                break
         # sizes: no set below may be in the ratio of a link
         live = (trie.most[node] * den >= num * size) & (trie.least[node] * num <= den * size)
         node, so_far = node[live], so_far[live]
@@ -241,32 +319,26 @@ def walk(trie: Trie, x: np.ndarray, num: int, den: int, settled: np.ndarray | No
             break
         at, n = trie.label_at[node], trie.label_at[node + 1] - trie.label_at[node]
         before = np.cumsum(n) - n
-        labels = trie.labels[np.repeat(at, n) + np.arange(n.sum()) - np.repeat(before, n)] if n.sum() else np.zeros(0, U64)
+        labels = trie.labels[np.repeat(at - before, n) + np.arange(n.sum())]
         where = np.searchsorted(x, labels)
-        where[where == size] = size - 1
-        same = np.concatenate(([0], np.cumsum(x[where] == labels))) if len(labels) else np.zeros(1, int)
+        where[where == n_x] = n_x - 1
+        same = np.concatenate(([0], np.cumsum(x[where] == labels)))
         so_far = so_far + same[before + n] - same[before]
         # what is left of x after the label's last n-gram, and of the longest path below
-        tail = np.array([trie.labels[e - 1] for e in (at + n)], U64)
-        x_left = size - np.searchsorted(x, tail, "right")
+        x_left = n_x - np.searchsorted(x, trie.labels[at + n - 1], "right")
         ends = trie.stop[node]
-        whole = ends == trie.least[node]
-        if whole.any():
-            for j in np.flatnonzero(whole):
-                o = int(so_far[j])
-                lo, hi = int(trie.lo[node[j]]), int(trie.hi[node[j]])
-                done = lo + np.flatnonzero(trie.sizes[lo:hi] == ends[j])
-                union = size + int(ends[j]) - o
-                if den * o >= num * union:
-                    hits.append(done)
-        best = so_far + np.minimum(x_left, trie.most[node] - ends)
-        need = num * (size + np.maximum(trie.least[node], ends))
-        live = (best * (num + den) >= need) & (trie.n_kids[node] > 0)
+        for j in np.flatnonzero(ends == trie.short[node]):
+            o, lo, hi = int(so_far[j]), int(trie.lo[node[j]]), int(trie.hi[node[j]])
+            done = lo + np.flatnonzero((trie.lens[lo:hi] == ends[j]) & (den * o >= num * (size + trie.sizes[lo:hi] - o)))
+            if len(done):
+                hits.append(done)
+        best = so_far + np.minimum(x_left, trie.long[node] - ends)
+        live = (best * (num + den) >= num * (size + trie.least[node])) & (trie.n_kids[node] > 0)
         node, so_far = node[live], so_far[live]
         n = trie.n_kids[node]
         before = np.cumsum(n) - n
         so_far = np.repeat(so_far, n)
-        node = np.repeat(trie.first_kid[node], n) + np.arange(n.sum()) - np.repeat(before, n) if len(n) else node
+        node = np.repeat(trie.first_kid[node] - before, n) + np.arange(n.sum())
     return np.sort(np.concatenate(hits)) if hits else np.zeros(0, int)
 
 
@@ -275,7 +347,7 @@ def _links(num: int, den: int) -> Mapper:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, ["family", "cls", "bi", "bj"]):
-            ids = rows.column("id").to_numpy()
+            ids, sizes = rows.column("key").to_numpy(), rows.column("size").to_numpy()
             blocks = rows.column("block").to_numpy()
             sets = [np.frombuffer(v.as_buffer(), U64) for v in rows.column("set").combine_chunks()]
             self_join = rows.column("bi")[0].as_py() == rows.column("bj")[0].as_py()
@@ -283,14 +355,14 @@ def _links(num: int, den: int) -> Mapper:
             right = left if self_join else np.flatnonzero(blocks == rows.column("bj")[0].as_py())
             if not len(left) or not len(right):
                 continue
-            trie = Trie([sets[i] for i in left])
+            trie = Trie([sets[i] for i in left], sizes[left])
             local = left[np.array(trie.order)]
             group, out = np.arange(len(ids)), []
             for q in local if self_join else right:
                 settled = group[local] == group[q]
                 if settled.all():
                     continue
-                for t in local[walk(trie, sets[q], num, den, settled)]:
+                for t in local[walk(trie, sets[q], num, den, settled, int(sizes[q]))]:
                     if group[t] != group[q]:
                         group[group == group[t]] = group[q]
                         out.append((int(ids[q]), int(ids[t])))
@@ -301,22 +373,42 @@ def _links(num: int, den: int) -> Mapper:
     return run
 
 
-def _ship(n: int, fold_case: bool) -> Mapper:
-    """The set of each wanted row, once for each block pair of its family."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offs in text_chunks(batch, "__text"):
-                part = batch.slice(lo, hi - lo)
-                x, bounds = sets_of(data, offs, n, fold_case)
-                one, two = digests(x, bounds)
-                # a row with the same id and another text is none of ours
-                keep = np.flatnonzero((part.column("h1").to_numpy() == one) & (part.column("h2").to_numpy() == two))
-                if len(keep):
-                    out = part.take(pa.array(keep)).drop_columns(["__text", "h1", "h2"])
-                    yield out.append_column("set", pa.array([x[bounds[i] : bounds[i + 1]].tobytes() for i in keep], pa.binary()))
-
-    return run
+def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, fold_case: bool) -> DataFrame:
+    """(__id, __row, __size, __h1, __h2, kin, least) of every row: __row is a hash of all its columns, kin names its component, least is the component's least id."""
+    spark = docs.sparkSession
+    spark_n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slim = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(*docs.columns).alias("__row"), F.col(text_col).cast("string").alias("__text"))
+    described = cut(slim.mapInArrow(_describe(n, fold_case), "__id long, __row long, __size long, __h1 long, __h2 long"))
+    classes = cut(described.where("__id is not null and __size > 0").groupBy("__h1", "__h2").agg(F.min("__id").alias("rep"), F.min("__size").alias("size"), F.count("*").alias("rows")))
+    total = classes.agg(F.sum("size")).first()[0] or 0
+    buckets = max(spark_n, -(-total // BUCKET_NGRAMS))
+    packed, by_bucket = "bucket int, x binary, key binary, size binary, n binary", lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = by_bucket(slim.where("__id is not null").select("__text").mapInArrow(_deal(n, fold_case, buckets), packed))
+    shared = by_bucket(dealt.mapInArrow(_count(buckets), packed.replace("key", "held binary, key")))
+    able = cut(shared.mapInArrow(_gather(num, den), "key long, size long, shared long, set binary, prefix binary"))
+    chains = by_bucket(able.select("key", "size", "prefix").mapInArrow(_post(buckets), packed)).mapInArrow(_chains(num, den), "a long, b long")
+    families = components(chains)
+    tops = F.array(*[F.lit(int(t)) for t in TOPS])
+    first = F.size(F.filter(tops, lambda t: t < F.col("size")))
+    last = F.size(F.filter(tops, lambda t: t < F.floor(F.col("size") * den / num)))
+    # linked sets meet in the size class of the larger one
+    placed = able.select("key", "size", "shared").join(families, F.col("key") == families["v"]).select("key", "shared", F.col("component").alias("family"), F.explode(F.sequence(first, F.greatest(first, last))).alias("cls"))
+    placed = cut(placed)
+    weight = placed.groupBy("family", "cls").agg(F.sum("shared").alias("w"), F.count("*").alias("k")).where("k > 1").select("family", "cls", F.greatest(F.lit(1), F.ceil(F.col("w") / BLOCK_NGRAMS)).cast("int").alias("blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    wanted = placed.join(weight, ["family", "cls"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).select("key", "family", "cls", "block", other.alias("o"))
+    asked = wanted.select("key", "family", "cls", "block", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"))
+    sets = asked.join(able.select("key", "size", "set"), "key").repartition(spark_n, "family", "cls", "bi", "bj").sortWithinPartitions("family", "cls", "bi", "bj")
+    links = sets.select("key", "size", "family", "cls", "block", "bi", "bj", "set").mapInArrow(_links(num, den), "a long, b long")
+    found = components(links)
+    kin = cut(classes.join(found, classes["__h1"] == found["v"]).select("__h1", "__h2", "rep", "rows", F.col("component").alias("kin")))
+    least = kin.groupBy("kin").agg(F.min("rep").alias("least"))
+    one = classes.join(kin.select("__h1", "__h2"), ["__h1", "__h2"], "left_anti").select("__h1", "__h2", F.col("rep").alias("least"), "rows", F.col("__h1").alias("kin"))
+    best = cut(kin.join(least, "kin").select("__h1", "__h2", "least", "rows", "kin").unionByName(one))
+    whole = F.col("__id").isNotNull() & (F.col("__size") > 0)
+    joined = join_hot(described.where(whole), best, ["__h1", "__h2"], "rows")
+    alone = described.where(~whole).select(*described.columns, F.col("__id").alias("least"), F.lit(None).cast("long").alias("kin"))
+    return joined.select(*alone.columns).unionByName(alone)
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, fold_case: bool = False) -> DataFrame:
@@ -326,49 +418,21 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     is the smallest id that links reach, the row's own included. A null, empty or
     blank text has an empty set and no link: its component is its own id. Rows with equal sets
     are linked, repeated rows too, and each gives a row. A null id stays null in the result and
-    takes no part in links. Rows that share an id are one document with several texts. Columns of docs other than the two are not read.
+    takes no part in links. Rows with one id and different texts are judged text by text. An empty table gives none.
     """
-    spark = docs.sparkSession
-    spark_n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    slim = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    described = cut(slim.mapInArrow(_describe(n, fold_case, num, den), "__id long, __size long, __h1 long, __h2 long"))
-    linked = described.where("__id is not null and __size > 0")
-    classes = cut(linked.groupBy("__h1", "__h2").agg(F.min("__id").alias("rep"), F.min("__size").alias("size")))
-    packed = slim.where("__id is not null").mapInArrow(_deal(n, fold_case, num, den, 8 * spark_n), "bucket long, part binary, key binary, room binary")
-    shared = cut(packed.repartition(spark_n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "part long, key long, room int, n long"))
-    commonest = Window.partitionBy("key", F.expr("part & 63")).orderBy(F.desc("n"), F.desc("part"))
-    kept = shared.withColumn("place", F.row_number().over(commonest)).where("place > room").select("part", "key")
-    hubs = kept.groupBy("part").agg(F.min("key").alias("hub"), F.max("key").alias("far")).where("hub < far").select(F.col("part").alias("p"), "hub")
-    kin = kept.join(hubs, kept["part"] == hubs["p"]).select(F.col("hub").alias("a"), F.col("key").alias("b"))
-    families = components(kin)
-    member = classes.select("rep", F.col("__h1").alias("h1"), F.col("__h2").alias("h2"), F.col("size").alias("__size"))
-    tops = F.array(*[F.lit(int(t)) for t in TOPS])
-    first = F.size(F.filter(tops, lambda t: t < F.col("__size")))
-    last = F.size(F.filter(tops, lambda t: t < F.floor(F.col("__size") * den / num)))
-    placed = cut(member.join(families, member["h1"] == families["v"]).select("rep", "h1", "h2", "__size", F.col("component").alias("family"), F.explode(F.sequence(first, F.greatest(first, last))).alias("cls")))
-    weight = placed.groupBy("family", "cls").agg(F.sum("__size").alias("w"), F.count("*").alias("k")).where("k > 1").select(F.col("family").alias("f"), F.col("cls").alias("c"), F.greatest(F.lit(1), F.ceil(F.col("w") / BLOCK_NGRAMS)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int")
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    wanted = placed.join(weight, (placed["family"] == weight["f"]) & (placed["cls"] == weight["c"])).withColumn("block", block).select(F.col("rep").alias("id"), "h1", "h2", "family", "cls", "block", F.explode(other).alias("o"))
-    wanted = wanted.select("id", "h1", "h2", "family", "cls", "block", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"))
-    asked = wanted.hint("merge").join(slim, wanted["id"] == slim["__id"]).select("id", "h1", "h2", "family", "cls", "block", "bi", "bj", "__text")
-    sets = asked.mapInArrow(_ship(n, fold_case), "id long, family long, cls int, block int, bi int, bj int, set binary")
-    dealt = sets.repartition(spark_n, "family", "cls", "bi", "bj").sortWithinPartitions("family", "cls", "bi", "bj")
-    links = dealt.mapInArrow(_links(num, den), "a long, b long")
-    found = components(links)
-    best = classes.join(found, classes["rep"] == found["v"], "left").select(F.col("__h1").alias("k1"), F.col("__h2").alias("k2"), F.coalesce("component", "rep").alias("component"))
-    rows = described.select("__id", "__size", "__h1", "__h2")
-    out = rows.join(best, (rows["__h1"] == best["k1"]) & (rows["__h2"] == best["k2"]) & (rows["__size"] > 0) & rows["__id"].isNotNull(), "left")
-    return out.select(F.col("__id").alias(id_col), F.col("__size").alias("n_shingles"), F.coalesce("component", "__id").alias("component_id"))
+    found = _linked(docs.select(id_col, text_col), id_col, text_col, n, num, den, fold_case)
+    return found.select(F.col("__id").alias(id_col), F.col("__size").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
 def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near copies (five words, 0.8): that of the smallest id.
 
-    Rows without words are kept. Of rows with the id that stands for a group, one is kept. Rows with a null id are kept.
+    Of several rows of a group with that id, the one whose set and columns have the least hashes stays; rows equal in all columns are one.
+    Different texts under one id are different documents. Rows without words and rows with a null id are kept, all of them.
     """
-    found = ngram_jaccard_join(docs, id_col, text_col)
-    stays = found.where(f"component_id = {id_col} and n_shingles > 0 or {id_col} is null").select(F.col(id_col).alias("__stay")).distinct()
-    blank = docs.where(f"{id_col} is null or {text_col} is null or not {text_col} rlike '[^ \\t-\\r]'")
-    rest = docs.where(f"{id_col} is not null and {text_col} is not null and {text_col} rlike '[^ \\t-\\r]'").dropDuplicates([id_col])
-    return rest.join(stays, rest[id_col] == stays["__stay"], "left_semi").unionByName(blank)
+    found = _linked(docs, id_col, text_col, 5, 80, 100, False)
+    stays = found.where("kin is not null").groupBy("kin").agg(F.min(F.struct("__id", "__h1", "__h2", "__row")).alias("s")).select(F.col("s.__id").alias("__id"), F.col("s.__row").alias("__row")).distinct()
+    told = docs.withColumns({"__id": F.col(id_col).cast("long"), "__row": F.xxhash64(*docs.columns)})
+    blank = F.col(id_col).isNull() | F.col(text_col).isNull() | ~F.col(text_col).rlike(r"[^ \t-\r]")
+    rest = told.where(~blank).join(stays, ["__id", "__row"], "left_semi").dropDuplicates(["__id", "__row"])
+    return rest.select(*docs.columns).unionByName(docs.where(blank))
