@@ -9,7 +9,7 @@ from lodestone.llm import toxicity as tox
 from lodestone.llm.common import cut, table
 from lodestone.llm.fm_dedup import substring_dedup
 from lodestone.llm.ngram_join import near_duplicates_removed
-from lodestone.llm.packing import best_fit_packing
+from lodestone.llm.packing import packed_sequences
 from lodestone.llm.pii import personal_data
 
 
@@ -38,8 +38,8 @@ def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in bins of 512 to 4096 words."""
-    return best_fit_packing(docs)
+    """Sequences of 512 to 4096 words with the ids of the documents in them; documents without words stand alone, without a bin."""
+    return packed_sequences(docs).withColumnRenamed("ids", "doc_ids")
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("privacy", privacy), ("packing", packing)]

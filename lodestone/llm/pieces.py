@@ -10,22 +10,24 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Mapper
+from lodestone.llm.common import Mapper, list_array
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Characters encoded at a time.
 SECTION = 1 << 18
-#: Words whose merges the library keeps.
-CACHED_WORDS = 200_000
+#: Different words whose ids are kept, about.
+CACHED_WORDS = 400_000
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -94,7 +96,7 @@ def build(model: Model):
             local = [(p[:k], p[k:]) for k in range(1, len(p)) if p[:k] in usable and p[k:] in usable]
             merges.extend((-score, ids[p], ids[a], ids[b], (a, b)) for a, b in local)
         merges.sort()
-        tok = Tokenizer(models.BPE({p: i for i, (p, _, _) in enumerate(model.pieces)}, [m[-1] for m in merges], unk_token=model.pieces[model.unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=CACHED_WORDS))
+        tok = Tokenizer(models.BPE({p: i for i, (p, _, _) in enumerate(model.pieces)}, [m[-1] for m in merges], unk_token=model.pieces[model.unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=0))
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.squeeze:
         steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
@@ -112,6 +114,12 @@ class Pieces:
     def __init__(self, raw: bytes):
         self.model = Model(raw)
         self.tok = build(self.model)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the memory of words: ids of word i stand in known from ends[i] to ends[i + 1]."""
+        self.place: dict[bytes, int] = {}
+        self.known, self.ends = array("i"), array("q", [0])
 
     def normalised(self, text: str) -> str:
         """The text as the model sees it, markers for blanks."""
@@ -140,6 +148,44 @@ class Pieces:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null gives none."""
         whole = [self.normalised(t or "") for t in texts]
+        if self.model.by_word:
+            return self._encode_words(whole)
+        return self._encode_flat(whole)
+
+    def _encode_words(self, whole: list[str]) -> list[np.ndarray]:
+        """Ids of normalised texts of a model whose pieces keep within words: each different word of the batch is encoded once."""
+        raw = [t.replace(MARK, " ").encode() for t in whole]
+        edge = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        blank = data == 32
+        start = blank.copy()
+        start[1:] &= ~blank[:-1]
+        start[edge[:-1][edge[:-1] < len(data)]] = True
+        at = np.flatnonzero(start)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        if len(self.place) > CACHED_WORDS:
+            self._forget()
+        new = [w for w in distinct if w not in self.place]
+        bare = self._bare()
+        for a in range(0, len(new), 20_000):
+            part = new[a : a + 20_000]
+            found = [e.ids for e in bare.encode_batch_fast([w.decode().replace(" ", MARK) for w in part], add_special_tokens=False)]
+            self.place.update(zip(part, range(len(self.place), len(self.place) + len(part))))
+            self.known.extend(chain.from_iterable(found))
+            self.ends.extend(accumulate(map(len, found), initial=self.ends.pop()))
+        known, ends = np.frombuffer(self.known, np.int32), np.frombuffer(self.ends, np.int64)
+        which = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
+        begin = ends[which]
+        times = ends[which + 1] - begin
+        before = np.concatenate(([0], np.cumsum(times)))
+        ids = known[np.repeat(begin - before[:-1], times) + np.arange(before[-1])]
+        del known, ends  # views of arrays that grow
+        cuts = before[np.searchsorted(at, edge)]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _encode_flat(self, whole: list[str]) -> list[np.ndarray]:
+        """Ids of normalised texts, by the library's threads, in batches of bounded size."""
         sections = [self._sections(t) for t in whole]
         flat = [s for x in sections for s in x]
         done: list[np.ndarray] = []
@@ -171,19 +217,13 @@ class Pieces:
             tok.normalizer = normalizers.Sequence([])
         return tok
 
-    def spelled(self, ids: np.ndarray) -> bytes:
-        """The bytes that ids stand for, gathered from one table; byte pieces give their byte."""
-        flat, at = self._spelling()
-        n = at[ids + 1] - at[ids]
-        before = np.cumsum(n) - n
-        return flat[np.repeat(at[ids] - before, n) + np.arange(int(n.sum()))].tobytes()
-
-    @lru_cache(maxsize=1)
-    def _spelling(self) -> tuple[np.ndarray, np.ndarray]:
-        words = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
-        return np.frombuffer(b"".join(words), np.uint8), np.concatenate(([0], np.cumsum([len(w) for w in words])))
+    def plain(self, text: str | None) -> str:
+        """What decoding the text's ids should give: the normalised text with blanks."""
+        whole = self.normalised(text or "").replace(MARK, " ")
+        return whole[1:] if self.model.dummy_prefix else whole
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
+        """The texts of ids, by the library's decoder."""
         return self.tok.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
 
@@ -227,11 +267,11 @@ def _encode(raw: bytes, with_ids: bool) -> Mapper:
                 part = batch.slice(lo, hi - lo)
                 texts = part.column(at).to_pylist()
                 ids = pieces.encode(texts)
-                back = [pieces.spelled(x) for x in ids]
-                whole = [pieces.normalised(t or "").replace(MARK, " ").encode() for t in texts]
+                back = pieces.decode(ids)
+                whole = [pieces.plain(t) for t in texts]
                 out = part.remove_column(at).append_column("n_tokens", pa.array([len(x) for x in ids], pa.int64()))
                 out = out.append_column("ids_sha256", pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids])).append_column("round_trip", pa.array([a == b for a, b in zip(whole, back)]))
-                yield out.append_column("ids", pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))) if with_ids else out
+                yield out.append_column("ids", list_array(np.concatenate(ids), np.array([len(x) for x in ids]), pa.int32())) if with_ids else out
                 lo, size = hi, 0
 
     return run

@@ -15,7 +15,7 @@ from lodestone.llm.common import crc_fold, table
 from lodestone.llm.extract import extract_main_text
 from lodestone.llm.fm_dedup import substring_dedup
 from lodestone.llm.ngram_join import ngram_jaccard_join
-from lodestone.llm.packing import best_fit_packing
+from lodestone.llm.packing import packed_sequences
 from lodestone.llm.pii import personal_data
 from lodestone.llm.pieces import sentencepiece_encode
 
@@ -40,7 +40,7 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
-    return sentencepiece_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, with_ids=False)
+    return sentencepiece_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_packing(table(spark, sf_dir, "documents"))
+    """Every packed sequence: the pieces in it by document, and its text as a digest."""
+    bins = packed_sequences(table(spark, sf_dir, "documents"))
+    return bins.withColumn("text_sha256", F.sha2("text", 256)).withColumnRenamed("ids", "doc_ids").drop("text")
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -308,7 +308,70 @@ def test_pack_is_no_worse_than_one_size():
     for _ in range(20):
         n = sorted(rng.integers(1, 100, 200).tolist(), reverse=True)
         _, final = packing.pack(n, (32, 64, 100))
-        assert sum(final) <= 100 * len(packing.best_fit(n, (100,), 100)[1])
+        assert sum(final) <= sum(packing.pack(n, (100,))[1])
+
+
+def least_cost(lengths, sizes, overhead):
+    """The cheapest packing of few pieces, by trying every partition."""
+    best = [10**9]
+
+    def go(i, fills):
+        if i == len(lengths):
+            best[0] = min(best[0], sum(min(s for s in sizes if s >= f) + overhead for f in fills))
+            return
+        for j, f in enumerate(fills):
+            if f + lengths[i] <= sizes[-1]:
+                go(i + 1, [*fills[:j], f + lengths[i], *fills[j + 1 :]])
+        go(i + 1, [*fills, lengths[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_pack_against_the_best_packing():
+    rng = np.random.default_rng(8)
+    ours = theirs = 0
+    for case in range(60):
+        n = sorted(rng.integers(1, 60, 7).tolist(), reverse=True)
+        sizes, overhead = ((16, 32, 64), (20, 64), (60,))[case % 3], (0, 5)[case % 2]
+        bins, final = packing.pack(n, sizes, overhead)
+        fills = np.bincount(bins, n)
+        assert all(f <= s and s == min(x for x in sizes if x >= f) for f, s in zip(fills, final))
+        cost, best = sum(final) + overhead * len(final), least_cost(n, sizes, overhead)
+        assert best <= cost <= 1.5 * best
+        ours, theirs = ours + cost, theirs + best
+    assert ours <= 1.08 * theirs
+
+
+def test_a_new_bin_takes_the_size_that_costs_least():
+    assert packing.pack([30, 30, 2, 2], (32, 64))[1] in ([32, 32], [64])
+    assert packing.pack([33, 31], (32, 64)) == ([0, 0], [64])
+    assert packing.pack([33], (40, 64)) == ([0], [40])
+    assert sorted(packing.pack([60, 20, 20, 20], (20, 60))[1]) == [60, 60]
+    assert sorted(packing.pack([50, 20, 18, 10], (20, 60), 0)[1]) == [20, 20, 60]
+
+
+def test_packed_sequences_hold_the_texts(spark, docs, odd):
+    for df, sizes in ((docs, (64, 128, 512)), (odd, (16, 32))):
+        texts = defaultdict(list)
+        for r in packing.packed_sequences(df, sizes=sizes).collect():
+            words = WORD.findall(r.text)
+            assert len(words) == r.n_tokens == sum(r.lengths) and (r.bin_id is None) == (r.n_tokens == 0)
+            for i, piece, start, n, at in zip(r.ids, r.pieces, r.starts, r.lengths, r.offsets):
+                assert start == piece * max(sizes)
+                texts[i].append((piece, words[at : at + n]))
+        want = defaultdict(list)
+        for i, t in df.select("doc_id", "text").collect():
+            w = WORD.findall(t or "")
+            want[i] += [(k // max(sizes), w[k : k + max(sizes)]) for k in range(0, max(1, len(w)), max(sizes))]
+        assert {i: sorted(p) for i, p in texts.items()} == {i: sorted(p) for i, p in want.items()}
+
+
+def test_packing_does_not_hang_on_partitions(spark, docs):
+    one, two = (sorted(map(str, packing.packed_sequences(df).collect())) for df in (docs.coalesce(1), docs.repartition(7)))
+    assert one == two
+    copies = spark.createDataFrame([(1, "some words here")] * 3000 + [(None, "a b")] * 500, "doc_id long, text string")
+    assert packing.packed_sequences(copies).agg({"n_tokens": "sum"}).first()[0] == 10000
 
 
 def test_chat(spark):
@@ -375,7 +438,8 @@ def test_pipeline_stages(spark, sf, docs):
         before = {r.doc_id: r.text for r in kept.select("doc_id", "text").collect()}
         after = stage(spark, kept, sf)
         if name == "packing":
-            assert {r.doc_id for r in after.select("doc_id").collect()} == set(before)
+            assert {i for r in after.select("doc_ids").collect() for i in r.doc_ids} == set(before)
+            assert Counter(w for r in after.collect() for w in WORD.findall(r.text)) == Counter(w for t in before.values() for w in WORD.findall(t or ""))
             break
         assert after.columns == docs.columns
         rows = {r.doc_id: r.text for r in after.collect()}
