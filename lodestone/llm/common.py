@@ -143,19 +143,21 @@ def even_labels(parts: int) -> np.ndarray:
     return found.astype(np.int32)
 
 
-def join_hot(rows: DataFrame, per_key: DataFrame, on: list[str], count: str, how: str = "inner", least: int = 5000) -> DataFrame:
-    """rows joined with per_key, which has one row for each key and says in count how many of rows hold it.
+def join_hot(rows: DataFrame, per_key: DataFrame, on: list[str], count: str, how: str = "inner", counts: DataFrame | None = None, least: int = 5000) -> DataFrame:
+    """rows joined with per_key, which has one row for each key; per_key, or else counts, says in count how many of rows hold a key.
 
     Keys that more than a 256th of all rows hold (and more than least) are fewer than 256: these, and only these, are broadcast, so
-    that no task gets all rows of a hot key. per_key should be a written table, as it is read more than once.
+    that no task gets all rows of a hot key. What holds the counts should be a written table, as it is read more than once.
     """
-    total, top = per_key.agg(F.sum(count), F.max(count)).first()
+    known = counts if counts is not None else per_key
+    total, top = known.agg(F.sum(count), F.max(count)).first()
     most = max(least, (total or 0) // 256)
+    side = per_key.select(*[c for c in per_key.columns if c != count or counts is not None])
     if (top or 0) <= most:
-        return rows.join(per_key.drop(count), on, how)
-    hot = per_key.where(F.col(count) > most)
-    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(per_key.where(F.col(count) <= most).drop(count), on, how)
-    return rows.join(F.broadcast(hot.drop(count)), on).unionByName(cold)
+        return rows.join(side, on, how)
+    hot = F.broadcast(known.where(F.col(count) > most).select(*on))
+    cold = rows.join(hot, on, "left_anti").join(side, on, how)
+    return rows.join(F.broadcast(side.join(hot, on, "left_semi")), on).unionByName(cold)
 
 
 Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

@@ -7,7 +7,7 @@ with a smaller id; a word goes if a window over it goes.
    Neighbouring windows with the same name form a run of at most 43. A name that one document
    alone has needs no look. Equal runs are one from here on, with the least id that has it,
    so copies in any number cost one run. A name that very many different runs carry is dealt
-   out anew, window by window.
+   out anew, window by window, under two hashes of the window; windows of one run alone are not indexed.
 2. Each shard holds a compressed FM-index of its runs' words: a wavelet matrix over the
    Burrows-Wheeler transform and bit vectors of the places where 49 and 50 words agree.
    Every run is streamed against it from its last word: backward steps extend the match, a step over
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import wordscan as ws
-from lodestone.llm.common import Mapper, cut, grouped, list_array, text_chunks
+from lodestone.llm.common import Mapper, cut, grouped, join_hot, list_array, text_chunks
 
 #: Words of the hashes that name shards.
 ANCHOR = 8
@@ -207,15 +207,15 @@ def _cut_out(window: int) -> Mapper:
             for lo, hi, data, offs in text_chunks(batch, "__text", 1 << 19):
                 starts, ends, first = ws.words(data, offs)
                 h = ws.hashes(data, starts, ends)
-                whole = _segment_hashes(h, np.arange(max(0, len(h) - window + 1)), np.full(max(0, len(h) - window + 1), window)).view(np.int64) if any(batch.column("crowded")[lo:hi].to_pylist()) else None
+                at, width = np.arange(max(0, len(h) - window + 1)), np.full(max(0, len(h) - window + 1), window)
+                one, two = (_segment_hashes(x, at, width).view(np.int64) for x in (h, ws.mix(h + ws.SHINGLE[17]))) if any(batch.column("crowded")[lo:hi].to_pylist()) else (None, None)
                 raw, out = data.tobytes(), []
                 for i, (asked, doc) in enumerate(zip(batch.column("asked").slice(lo, hi - lo).to_pylist(), batch.column("__id").slice(lo, hi - lo).to_pylist())):
                     for r in asked:
                         a = int(first[i]) + r["at"]
                         if r["crowded"]:
                             for j in range(r["n"]):
-                                w = int(whole[a + j])
-                                out.append((w, w, doc, raw[starts[a + j] : ends[a + j + window - 1]], r["m"], r["c"], j))
+                                out.append((int(one[a + j]), int(two[a + j]), doc, raw[starts[a + j] : ends[a + j + window - 1]], r["m"], r["c"], j))
                         else:
                             out.append((r["m"], r["c"], doc, raw[starts[a] : ends[a + r["n"] + window - 2]], 0, 0, -1))
                 if out:
@@ -271,28 +271,28 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int) -
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(id_col, text_col).alias("__key"))
     with_id = rows.where("__id is not null and __text is not null")
     runs = cut(with_id.mapInArrow(_runs(window), "m long, c long, id long, k long, at int, n int"))
-    common = runs.groupBy("m").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("m").alias("name"))
-    held = cut(runs.join(common, runs["m"] == common["name"]).drop("name"))
-    distinct = cut(held.groupBy("m", "c").agg(F.min(F.struct("id", "k", "at", "n")).alias("s")).select("m", "c", "s.id", "s.k", "s.at", "s.n"))
-    crowd = distinct.groupBy("m").agg((F.count("*") > CROWDED).alias("crowded")).withColumnRenamed("m", "name")
-    asked = distinct.join(crowd, distinct["m"] == crowd["name"]).groupBy("k").agg(F.collect_list(F.struct("m", "c", "at", "n", "crowded")).alias("asked"), F.max("crowded").alias("crowded"))
+    common = cut(runs.groupBy("m").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("m", "rows"))
+    held = cut(join_hot(runs, common, ["m"], "rows"))
+    distinct = cut(held.groupBy("m", "c").agg(F.min(F.struct("id", "k", "at", "n")).alias("s"), F.count("*").alias("rows")).select("m", "c", "s.id", "s.k", "s.at", "s.n", "rows"))
+    crowd = cut(distinct.groupBy("m").agg(F.count("*").alias("runs")).withColumn("crowded", F.col("runs") > CROWDED))
+    asked = join_hot(distinct.drop("rows"), crowd, ["m"], "runs").groupBy("k").agg(F.collect_list(F.struct("m", "c", "at", "n", "crowded")).alias("asked"), F.max("crowded").alias("crowded"))
     pieces = cut(with_id.join(asked, with_id["__key"] == asked["k"]).select("__id", "__text", "asked", "crowded").mapInArrow(_cut_out(window), "m long, c long, id long, words binary, of_m long, of_c long, nth int"))
-    alone = pieces.where("nth >= 0").groupBy("m", "c").agg(F.min(F.struct("id", "words")).alias("s"), F.count("*").alias("times")).where("times > 1").select("m", "c", "s.id", "s.words")
-    entries = pieces.where("nth < 0").select("m", "c", "id", "words").unionByName(alone)
+    alone = cut(pieces.where("nth >= 0").groupBy("m", "c").agg(F.min(F.struct("id", "words")).alias("s"), F.count("*").alias("times")).where("times > 1").select("m", "c", "s.id", "s.words", "times"))
+    entries = pieces.where("nth < 0").select("m", "c", "id", "words").unionByName(alone.drop("times"))
     total = pieces.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     spark_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(spark_n, -(-total // (6 * SHARD_WORDS)))
     sharded = entries.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards))).repartition(spark_n, "shard").sortWithinPartitions("shard")
     found = cut(sharded.mapInArrow(_search(window), "m long, c long, least array<long>"))
     back = pieces.where("nth >= 0").select("of_m", "of_c", "nth", "m", "c")
-    single = found.select(F.col("m").alias("fm"), F.col("c").alias("fc"), F.element_at("least", 1).alias("one"))
+    single = found.select("m", "c", F.element_at("least", 1).alias("one"))
     # a window that no other run has is first in the first text with this run
-    spots = back.join(single, (back["m"] == single["fm"]) & (back["c"] == single["fc"])).groupBy("of_m", "of_c").agg(F.map_from_entries(F.collect_set(F.struct("nth", "one"))).alias("spots")).select(F.col("of_m").alias("sm"), F.col("of_c").alias("sc"), "spots")
+    spots = join_hot(back, single, ["m", "c"], "times", counts=alone.select("m", "c", "times")).groupBy("of_m", "of_c").agg(F.map_from_entries(F.collect_set(F.struct("nth", "one"))).alias("spots")).select(F.col("of_m").alias("sm"), F.col("of_c").alias("sc"), "spots")
     whole = pieces.where("nth >= 0").groupBy("of_m", "of_c").agg(F.min("id").alias("own"), F.max("nth").alias("last"))
     places = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.try_element_at(F.col("spots"), i), F.col("own")))
-    crowded = whole.join(spots, (whole["of_m"] == spots["sm"]) & (whole["of_c"] == spots["sc"]), "left").select(F.col("of_m").alias("fm"), F.col("of_c").alias("fc"), places.alias("least"))
-    least = found.select(F.col("m").alias("fm"), F.col("c").alias("fc"), "least").unionByName(crowded)
-    hit = held.join(least, (held["m"] == least["fm"]) & (held["c"] == least["fc"])).where("array_min(least) < id")
+    crowded = whole.join(spots, (whole["of_m"] == spots["sm"]) & (whole["of_c"] == spots["sc"]), "left").select(F.col("of_m").alias("m"), F.col("of_c").alias("c"), places.alias("least"))
+    least = found.select("m", "c", "least").unionByName(crowded)
+    hit = join_hot(held, least, ["m", "c"], "rows", counts=distinct.select("m", "c", "rows")).where("array_min(least) < id")
     return hit.groupBy("k").agg(F.collect_list(F.struct("at", "least")).alias("hits"))
 
 
