@@ -24,10 +24,11 @@ def quotation_links(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
     reply_to is the turn whose own lines make up most of the lines quoted at the shallowest level that has a link (the later one of
     equals), null without a link; n_linked counts the quoted lines of all levels that an earlier turn says. path holds the turns from the chain's first message to this one, so that ordering by conv and path gives
     reply order. body is the text without quoted lines. A null text counts as empty; rows with a null conversation or turn are neither linked nor
-    linked to. Rows that repeat a turn are one message to link to, and each gives a row.
+    linked to. Rows that repeat a turn are one message to link to, and each gives a row. role is null where turns has none; other columns
+    are not read. An empty table gives no rows.
     """
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    rows = turns.select(F.col(conv).alias("__c"), F.col(turn).cast("long").alias("__t"), "role", lines.alias("lines"))
+    rows = turns.select(F.col(conv).alias("__c"), F.col(turn).cast("long").alias("__t"), (F.col("role") if "role" in turns.columns else F.lit(None).cast("string")).alias("role"), lines.alias("lines"))
     level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, MARK, 1), "[^>]", ""))
     bare = lambda x: F.lower(F.btrim(F.regexp_replace(F.regexp_replace(x, MARK, ""), "\\s+", " ")))
     marked = rows.withColumn("quoted", F.filter("lines", lambda x: x.rlike(MARK)))
@@ -72,13 +73,24 @@ def quotation_links(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
     links = cut(best.join(tops, ["c", "t"]).select("c", "t", F.col("best.source").alias("reply_to"), "n_linked"))
     # pointer doubling: seg holds the turns between the pointer (not included) and the message
     now = cut(links.select("c", "t", F.col("reply_to").alias("up"), F.array("t").alias("seg")))
-    for _ in range(most_rounds):
+    for doubling in range(most_rounds + 1):
         above = now.select(F.col("c").alias("ac"), F.col("t").alias("at"), F.col("up").alias("aup"), F.col("seg").alias("aseg"))
         step = now.join(above, (now["c"] == above["ac"]) & (now["up"] == above["at"]), "left")
         if not step.where("ac is not null").limit(1).count():
             break
+        if doubling == most_rounds:
+            raise RuntimeError("chains of answers did not settle")
         now = cut(step.select("c", "t", F.when(F.col("ac").isNull(), F.col("up")).otherwise(F.col("aup")).alias("up"), F.when(F.col("ac").isNull(), F.col("seg")).otherwise(F.concat("aseg", "seg")).alias("seg")))
     chains = now.select(F.col("c").alias("pc"), F.col("t").alias("pt"), F.concat(F.array("up"), "seg").alias("path"))
     out = message.join(links, (message["__c"] == links["c"]) & (message["__t"] == links["t"]), "left").join(chains, (F.col("__c") == F.col("pc")) & (F.col("__t") == F.col("pt")), "left")
     path = F.coalesce("path", F.array("__t"))
     return out.select(F.col("__c").alias(conv), F.col("__t").alias(turn), "role", "reply_to", (F.size(path) - 1).cast("int").alias("depth"), path.alias("path"), "n_quoted", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "deepest_quote", "body")
+
+
+def reply_ordered(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
+    """(conv, root, path, turn, role, body): the conversations without quotes, each thread from its first message on, every answer after what it answers.
+
+    The rows are sorted over the whole table by ranges, so a very long conversation is spread over tasks too. Nulls and repeats as in quotation_links().
+    """
+    linked = quotation_links(turns, conv, turn, text)
+    return linked.select(conv, F.get("path", 0).alias("root"), "path", turn, "role", "body").orderBy(conv, "path", "body")

@@ -41,12 +41,12 @@ def _words(c: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, f"[{SPACE}]+"))
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50, most_repeat: int = 50, most_lost: int = 50) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50, most_repeat: int = 50, most_lost: int = 50, with_text: bool = False) -> DataFrame:
     """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines, n_lines_removed, n_words_removed).
 
     kept is false for documents with fewer than least_words words, with more than most_repeat per cent of words in repeated
     three-word windows, or losing more than most_lost per cent of their words with failing lines. A null text counts as empty and
-    fails. Every row gives a row; a null id stays null. Other columns are not read.
+    fails. Every row gives a row; a null id stays null. Other columns are not read. with_text adds cleaned: the lines that stay, of kept documents.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col), text.alias("t"), _words(text).alias("w"))
@@ -65,11 +65,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     fifth = fourth.withColumn("at", F.when(F.col("d").isNull(), F.array().cast("array<int>")).when(F.col("p").isNull(), few).otherwise(many))
     covered = F.aggregate("at", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + p + 3 - F.greatest(a["end"], p)).alias("n")))["n"]
     bad = F.filter("lines", _line_fails)
-    judged = fifth.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), F.size("lines").cast("long").alias("n_lines"), bad.alias("bad"))
+    judged = fifth.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), F.size("lines").cast("long").alias("n_lines"), bad.alias("bad"), *[F.array_join(F.filter("lines", lambda line: ~_line_fails(line)), "\n").alias("clean")] * with_text)
     lost = F.aggregate("bad", F.lit(0).cast("long"), lambda a, line: a + F.size(F.split(F.btrim(line, F.lit(" \t\n\x0b\f\r")), f"[{SPACE}]+")))
     out = judged.withColumns({"base_failed": (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words")), "n_lines_removed": F.size("bad").cast("long"), "n_words_removed": lost})
     kept = ~F.col("base_failed") & (100 * F.col("n_words_removed") <= most_lost * F.col("n_words"))
-    done = out.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_lines", "n_lines_removed", "n_words_removed")
+    done = out.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_lines", "n_lines_removed", "n_words_removed", *[F.when(kept, F.col("clean")).alias("cleaned")] * with_text)
     # rows come out of a generator, so that a filter on a result is not pushed down into copies of all of the above
     return done.select(F.inline(F.array(F.struct(*done.columns))))
 

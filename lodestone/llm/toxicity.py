@@ -167,11 +167,11 @@ def _score(lexicon: Lexicon) -> Mapper:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 3000) -> Lexicon:
     """The lexicon learnt from at most sample labelled rows outside the held-out fold, chosen by a hash of the id.
 
-    Null ids and null labels are left out. sample bounds what reaches the driver.
+    Null ids and null labels are left out; of rows that repeat an id the least text counts, so sample bounds the texts that reach the driver.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.expr(f"{crc_fold(id_col)} <> 0")).select(F.col(id_col).alias("__l"), F.col(label_col).cast("int").alias("__y"))
     picked = known.groupBy("__l").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__l"), "__l").limit(sample)
-    rows = docs.select(F.col(id_col).alias("__d"), F.col(text_col).alias("__t")).join(picked, F.col("__d") == F.col("__l")).select("__t", "__y", "__d")
+    rows = docs.select(F.col(id_col).alias("__d"), F.col(text_col).alias("__t")).join(picked, F.col("__d") == F.col("__l")).groupBy("__d").agg(F.min("__t").alias("__t"), F.max("__y").alias("__y")).select("__t", "__y", "__d")
     return learn([(t, y) for t, y, _ in sorted(rows.collect(), key=lambda r: (r[2], r[0] or ""))])
 
 
