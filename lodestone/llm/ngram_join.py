@@ -3,8 +3,9 @@
 A text's set holds the 64-bit hashes of its distinct word n-grams. Rows with equal sets are one class from the first
 pass on, which gives every row its set's size and 128-bit digest.
 
-1. The global order of n-grams is (number of classes that hold it, at most 255; hash). Every class deals its n-grams out once, by
-   hash; n-grams of two classes or more go back to their classes with that number.
+1. The global order of n-grams is (number of classes that hold it, at most 255; hash). Every class deals 32 bits of its n-grams
+   out once, by hash; the numbers, a byte for each n-gram, go back to where the class's text is. N-grams whose 32 bits meet
+   in a bucket share a number, which may then be too high: the order stays the same for all sets, and only a number of 1 leaves an n-gram out.
 2. Two linked sets share at least ceil(num / den * size) n-grams of either, so the first n-gram that they share
    is among the first size - ceil(num / den * size) + 1 of each. N-grams of one class come first in the order; a class with too
    many of them can have no link and goes. The others keep their shared n-grams and that prefix of them.
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,28 +113,37 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _runs_of_keys(bucket: np.ndarray, key: np.ndarray, size: np.ndarray, labels: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
-    """One row for each bucket; a key and its size stand once for all its neighbouring n-grams."""
-    at = _heads(bucket, key)
-    n = np.diff(np.append(at, len(key))).astype(np.int32)
-    first = _heads(bucket[at])
-    ends = np.append(first[1:], len(at))
-    rows = np.append(at, len(key))
-    packed = {name: [v[rows[a] : rows[b]].tobytes() for a, b in zip(first, ends)] for name, v in more.items()}
-    packed |= {name: [v[a:b].tobytes() for a, b in zip(first, ends)] for name, v in (("key", key[at]), ("size", size[at].astype(np.int32)), ("n", n))}
-    return pa.record_batch([pa.array(labels[bucket[at[first]]], pa.int32()), *(pa.array(v, pa.binary()) for v in packed.values())], names=["bucket", *packed])
+def _packed(bucket: np.ndarray, n: np.ndarray, values: np.ndarray, labels: np.ndarray, **runs: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket of runs, which are in order of bucket and hold n values each."""
+    first = _heads(bucket)
+    ends = np.append(first[1:], len(bucket))
+    cuts = np.concatenate(([0], np.cumsum(n)))
+    columns = {name: [v[a:b].tobytes() for a, b in zip(first, ends)] for name, v in {"n": n.astype(np.int32), **runs}.items()}
+    columns["x"] = [values[cuts[a] : cuts[b]].tobytes() for a, b in zip(first, ends)]
+    return pa.record_batch([pa.array(labels[bucket[first]], pa.int32()), *(pa.array(v, pa.binary()) for v in columns.values())], names=["bucket", *columns])
 
 
 def _unpacked(rows: pa.Table, **kinds: type) -> list[np.ndarray]:
-    return [np.concatenate([np.frombuffer(v.as_buffer(), kind) for c in rows.column(name).chunks for v in c]) for name, kind in kinds.items()]
+    return [np.concatenate([np.zeros(0, kind), *(np.frombuffer(v.as_buffer(), kind) for c in rows.column(name).chunks for v in c if v.is_valid)]) for name, kind in kinds.items()]
 
 
 def _place(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes.view(U64) >> U64(24)) % U64(buckets)).astype(np.int32)
+    """Bucket by the low 32 bits, so that the high ones still tell n-grams of a bucket apart."""
+    return ((hashes.view(U64) & U64(0xFFFFFFFF)) % U64(buckets)).astype(np.int32)
+
+
+def _unseen(key: np.ndarray, size: np.ndarray, seen: set[int]) -> np.ndarray:
+    return np.array([s > 0 and not (k in seen or seen.add(k)) for k, s in zip(key.tolist(), size.tolist())], bool)
+
+
+def _by_bucket(x: np.ndarray, row: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted sets by (bucket, row, hash), and the buckets."""
+    bucket = _place(x, buckets)
+    return np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable"), bucket
 
 
 def _deal(n: int, fold_case: bool, buckets: int) -> Mapper:
-    """The n-grams of every class, once a task, by bucket of the n-gram."""
+    """32 bits of the n-grams of every class, once a task, by bucket of the n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, seen = even_labels(buckets), set()
@@ -140,61 +151,90 @@ def _deal(n: int, fold_case: bool, buckets: int) -> Mapper:
             for _, _, data, offs in text_chunks(batch, "__text"):
                 x, bounds = sets_of(data, offs, n, fold_case)
                 key, size = digests(x, bounds)[0], np.diff(bounds)
-                fresh = np.array([s > 0 and not (k in seen or seen.add(k)) for k, s in zip(key.tolist(), size.tolist())], bool)
+                fresh = _unseen(key, size, seen)
                 row = np.repeat(np.arange(len(size)), size)
                 x, row = x[fresh[row]], row[fresh[row]]
                 if len(x):
-                    bucket = _place(x, buckets)
-                    by = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
-                    row = row[by]
-                    yield _runs_of_keys(bucket[by], key[row], size[row], labels, x=x[by])
+                    by, bucket = _by_bucket(x, row, buckets)
+                    bucket, row = bucket[by], row[by]
+                    at = _heads(bucket, row)
+                    yield _packed(bucket[at], np.diff(np.append(at, len(x))), (x[by] >> U64(32)).astype(np.uint32), labels, key=key[row[at]], src=bucket[at])
 
     return run
 
 
 def _count(buckets: int) -> Mapper:
-    """N-grams of two classes or more with the number of classes, by bucket of the class."""
+    """The number of classes of each n-gram, by bucket of the class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = even_labels(buckets)
         for rows in grouped(batches, ["bucket"]):
-            x, key, size, n = _unpacked(rows, x=U64, key=np.int64, size=np.int32, n=np.int32)
-            key, size = np.repeat(key, n), np.repeat(size, n)
-            by = np.lexsort((key, x))
-            x, key, size = x[by], key[by], size[by]
-            at = _heads(x, key)
-            x, key, size = x[at], key[at], size[at]
-            at = _heads(x)
-            held = np.diff(np.append(at, len(x)))
-            held = np.repeat(held, held)
-            keep = held > 1
-            x, key, size, held = x[keep], key[keep], size[keep], np.minimum(held[keep], 255).astype(np.uint8)
-            if len(x):
-                bucket = _place(key, buckets)
-                by = np.lexsort((key, bucket))
-                yield _runs_of_keys(bucket[by], key[by], size[by], labels, x=x[by], held=held[by])
+            x, key, src, n = _unpacked(rows, x=np.uint32, key=np.int64, src=np.int32, n=np.int32)
+            once = np.sort(np.unique(key, return_index=True)[1])  # other tasks may have dealt the class too
+            whole = np.zeros(len(key), bool)
+            whole[once] = True
+            x, key, src, n = x[np.repeat(whole, n)], key[once], src[once], n[once].astype(np.int64)
+            _, which, times = np.unique(x, return_inverse=True, return_counts=True)
+            held = np.minimum(times, 255).astype(np.uint8)[which]
+            target = _place(key, buckets)
+            by = np.argsort(target, kind="stable")
+            begin = np.cumsum(n) - n
+            moved = np.repeat(begin[by] - (np.cumsum(n[by]) - n[by]), n[by]) + np.arange(len(held))
+            yield _packed(target[by], n[by], held[moved], labels, key=key[by], src=src[by])
+
+    return run
+
+
+def _texts(n: int, fold_case: bool, buckets: int) -> Mapper:
+    """The text of every class, once a task, by bucket of the class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, seen = even_labels(buckets), set()
+        for batch in batches:
+            for lo, hi, data, offs in text_chunks(batch, "__text"):
+                x, bounds = sets_of(data, offs, n, fold_case)
+                key = digests(x, bounds)[0]
+                fresh = np.flatnonzero(_unseen(key, np.diff(bounds), seen))
+                if len(fresh):
+                    text = batch.column("__text").slice(lo, hi - lo).take(pa.array(fresh))
+                    yield pa.record_batch([pa.array(labels[_place(key[fresh], buckets)], pa.int32()), text], names=["bucket", "text"])
 
     return run
 
 
-def _gather(num: int, den: int) -> Mapper:
+def _gather(n: int, fold_case: bool, num: int, den: int, buckets: int) -> Mapper:
     """(key, size, set, prefix) of the classes that can have a link: their shared n-grams by hash, and the first of them in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, ["bucket"]):
-            x, held, key, size, n = _unpacked(rows, x=U64, held=np.uint8, key=np.int64, size=np.int32, n=np.int32)
-            key, size = np.repeat(key, n), np.repeat(size, n).astype(np.int64)
-            by = np.lexsort((x, held, key))
-            x, key, size = x[by], key[by], size[by]
-            at = _heads(key)
-            shared = np.diff(np.append(at, len(key)))
-            first = shared - -(-num * size[at] // den) + 1  # n-grams of this class alone come before all of these
-            able = np.flatnonzero(first > 0)
-            for lo in range(0, len(able), 2000):
-                part = able[lo : lo + 2000]
-                sets = [x[at[i] : at[i] + shared[i]] for i in part]
-                prefixes = [s[: first[i]].tobytes() for s, i in zip(sets, part)]
-                yield pa.record_batch([pa.array(key[at[part]]), pa.array(size[at[part]]), pa.array(shared[part]), pa.array([np.sort(s).tobytes() for s in sets], pa.binary()), pa.array(prefixes, pa.binary())], names=["key", "size", "shared", "set", "prefix"])
+            held, key, src, times = _unpacked(rows, x=np.uint8, key=np.int64, src=np.int32, n=np.int32)
+            by = np.lexsort((src, key))
+            begin, times = (np.cumsum(times) - times)[by], times[by].astype(np.int64)
+            at = _heads(key[by])
+            code_at = dict(zip(key[by][at].tolist(), zip(at.tolist(), np.append(at[1:], len(by)).tolist())))
+            seen: set[int] = set()
+            for batch in pa.table({"text": rows.column("text").filter(pc.is_valid(rows.column("text")))}).combine_chunks().to_batches():
+                for _, _, data, offs in text_chunks(batch, "text"):
+                    x, bounds = sets_of(data, offs, n, fold_case)
+                    out = []
+                    for i, k in enumerate(digests(x, bounds)[0].tolist()):
+                        if k in seen:
+                            continue
+                        seen.add(k)
+                        own, (a, b) = x[bounds[i] : bounds[i + 1]], code_at[k]
+                        codes = np.concatenate([held[p : p + t] for p, t in zip(begin[a:b].tolist(), times[a:b].tolist())])
+                        if len(codes) != len(own):
+                            raise RuntimeError("a class came back with other n-grams")
+                        bucket = _place(own, buckets)
+                        number = np.empty(len(own), np.uint8)
+                        number[np.argsort(bucket, kind="stable")] = codes
+                        shared = own[number > 1]
+                        first = len(shared) - -(-num * len(own) // den) + 1  # n-grams of this class alone come before all of these
+                        if first > 0:
+                            order = np.argsort(number[number > 1], kind="stable")[:first]
+                            out.append((k, len(own), len(shared), shared.tobytes(), shared[order].tobytes()))
+                    if out:
+                        yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["key", "size", "shared", "set", "prefix"])
 
     return run
 
@@ -209,10 +249,12 @@ def _post(buckets: int) -> Mapper:
                 continue
             prefixes = [np.frombuffer(v.as_buffer(), U64) for v in batch.column("prefix")]
             n = np.array([len(p) for p in prefixes])
-            x, key, size = np.concatenate(prefixes), np.repeat(batch.column("key").to_numpy(), n), np.repeat(batch.column("size").to_numpy(), n)
-            bucket = _place(x, buckets)
-            by = np.argsort(bucket, kind="stable")
-            yield _runs_of_keys(bucket[by], key[by], size[by], labels, x=x[by])
+            x, row = np.concatenate(prefixes), np.repeat(np.arange(len(n)), n)
+            by, bucket = _by_bucket(x, row, buckets)
+            bucket, row = bucket[by], row[by]
+            at = _heads(bucket, row)
+            key, size = batch.column("key").to_numpy(), batch.column("size").to_numpy()
+            yield _packed(bucket[at], np.diff(np.append(at, len(x))), x[by], labels, key=key[row[at]], size=size[row[at]])
 
     return run
 
@@ -244,8 +286,8 @@ def _chains(num: int, den: int) -> Mapper:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, ["bucket"]):
-            x, key, size, n = _unpacked(rows, x=U64, key=np.int64, size=np.int32, n=np.int32)
-            key, size = np.repeat(key, n), np.repeat(size, n).astype(np.int64)
+            x, key, size, n = _unpacked(rows, x=U64, key=np.int64, size=np.int64, n=np.int32)
+            key, size = np.repeat(key, n), np.repeat(size, n)
             by = np.lexsort((key, size, x))
             x, key, size = x[by], key[by], size[by]
             at = np.flatnonzero((x[1:] == x[:-1]) & (den * size[:-1] >= num * size[1:]))
@@ -382,11 +424,13 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den:
     classes = cut(described.where("__id is not null and __size > 0").groupBy("__h1", "__h2").agg(F.min("__id").alias("rep"), F.min("__size").alias("size"), F.count("*").alias("rows")))
     total = classes.agg(F.sum("size")).first()[0] or 0
     buckets = max(spark_n, -(-total // BUCKET_NGRAMS))
-    packed, by_bucket = "bucket int, x binary, key binary, size binary, n binary", lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    dealt = by_bucket(slim.where("__id is not null").select("__text").mapInArrow(_deal(n, fold_case, buckets), packed))
-    shared = by_bucket(dealt.mapInArrow(_count(buckets), packed.replace("key", "held binary, key")))
-    able = cut(shared.mapInArrow(_gather(num, den), "key long, size long, shared long, set binary, prefix binary"))
-    chains = by_bucket(able.select("key", "size", "prefix").mapInArrow(_post(buckets), packed)).mapInArrow(_chains(num, den), "a long, b long")
+    by_bucket = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    text = slim.where("__id is not null").select("__text")
+    dealt = by_bucket(text.mapInArrow(_deal(n, fold_case, buckets), "bucket int, n binary, key binary, src binary, x binary"))
+    numbers = dealt.mapInArrow(_count(buckets), "bucket int, n binary, key binary, src binary, x binary").withColumn("text", F.lit(None).cast("string"))
+    texts = text.mapInArrow(_texts(n, fold_case, buckets), "bucket int, text string").select("bucket", *[F.lit(None).cast("binary").alias(c) for c in ("n", "key", "src", "x")], "text")
+    able = cut(by_bucket(numbers.unionByName(texts)).mapInArrow(_gather(n, fold_case, num, den, buckets), "key long, size long, shared long, set binary, prefix binary"))
+    chains = by_bucket(able.select("key", "size", "prefix").mapInArrow(_post(buckets), "bucket int, n binary, key binary, size binary, x binary")).mapInArrow(_chains(num, den), "a long, b long")
     families = components(chains)
     tops = F.array(*[F.lit(int(t)) for t in TOPS])
     first = F.size(F.filter(tops, lambda t: t < F.col("size")))
