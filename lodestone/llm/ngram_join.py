@@ -3,9 +3,10 @@
 A text's set holds the 64-bit hashes of its distinct word n-grams. Rows with equal sets are one class from the first
 pass on, which gives every row its set's size and 128-bit digest.
 
-1. The global order of n-grams is (number of classes that hold it, at most 255; hash). Every class deals 32 bits of its n-grams
-   out once, by hash; the numbers, a byte for each n-gram, go back to where the class's text is. N-grams whose 32 bits meet
-   in a bucket share a number, which may then be too high: the order stays the same for all sets, and only a number of 1 leaves an n-gram out.
+1. The global order of n-grams is (number of classes that hold it, at most 255; hash). Classes are dealt into buckets with
+   their texts, once each. A bucket counts its n-grams and deals 32 bits and the count of each out by hash; the totals, a byte
+   each, go back to it. N-grams whose 32 bits meet share a total, which may then be too high: the order stays the same for
+   all sets, and only a total of 1 leaves an n-gram out.
 2. Two linked sets share at least ceil(num / den * size) n-grams of either, so the first n-gram that they share
    is among the first size - ceil(num / den * size) + 1 of each. N-grams of one class come first in the order; a class with too
    many of them can have no link and goes. The others keep their shared n-grams and that prefix of them.
@@ -113,16 +114,6 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _packed(bucket: np.ndarray, n: np.ndarray, values: np.ndarray, labels: np.ndarray, **runs: np.ndarray) -> pa.RecordBatch:
-    """One row for each bucket of runs, which are in order of bucket and hold n values each."""
-    first = _heads(bucket)
-    ends = np.append(first[1:], len(bucket))
-    cuts = np.concatenate(([0], np.cumsum(n)))
-    columns = {name: [v[a:b].tobytes() for a, b in zip(first, ends)] for name, v in {"n": n.astype(np.int32), **runs}.items()}
-    columns["x"] = [values[cuts[a] : cuts[b]].tobytes() for a, b in zip(first, ends)]
-    return pa.record_batch([pa.array(labels[bucket[first]], pa.int32()), *(pa.array(v, pa.binary()) for v in columns.values())], names=["bucket", *columns])
-
-
 def _unpacked(rows: pa.Table, **kinds: type) -> list[np.ndarray]:
     return [np.concatenate([np.zeros(0, kind), *(np.frombuffer(v.as_buffer(), kind) for c in rows.column(name).chunks for v in c if v.is_valid)]) for name, kind in kinds.items()]
 
@@ -132,109 +123,107 @@ def _place(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes.view(U64) & U64(0xFFFFFFFF)) % U64(buckets)).astype(np.int32)
 
 
-def _unseen(key: np.ndarray, size: np.ndarray, seen: set[int]) -> np.ndarray:
-    return np.array([s > 0 and not (k in seen or seen.add(k)) for k, s in zip(key.tolist(), size.tolist())], bool)
-
-
-def _by_bucket(x: np.ndarray, row: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of sorted sets by (bucket, row, hash), and the buckets."""
-    bucket = _place(x, buckets)
-    return np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable"), bucket
-
-
-def _deal(n: int, fold_case: bool, buckets: int) -> Mapper:
-    """32 bits of the n-grams of every class, once a task, by bucket of the n-gram."""
+def _texts(n: int, fold_case: bool, buckets: int) -> Mapper:
+    """The text of every class, once a task, by bucket of the class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, seen = even_labels(buckets), set()
         for batch in batches:
-            for _, _, data, offs in text_chunks(batch, "__text"):
+            for lo, hi, data, offs in text_chunks(batch, "__text"):
                 x, bounds = sets_of(data, offs, n, fold_case)
-                key, size = digests(x, bounds)[0], np.diff(bounds)
-                fresh = _unseen(key, size, seen)
-                row = np.repeat(np.arange(len(size)), size)
-                x, row = x[fresh[row]], row[fresh[row]]
-                if len(x):
-                    by, bucket = _by_bucket(x, row, buckets)
-                    bucket, row = bucket[by], row[by]
-                    at = _heads(bucket, row)
-                    yield _packed(bucket[at], np.diff(np.append(at, len(x))), (x[by] >> U64(32)).astype(np.uint32), labels, key=key[row[at]], src=bucket[at])
+                key = digests(x, bounds)[0]
+                fresh = np.array([i for i, (k, s) in enumerate(zip(key.tolist(), np.diff(bounds).tolist())) if s and not (k in seen or seen.add(k))], np.int64)
+                if len(fresh):
+                    home = _place(key[fresh], buckets)
+                    text = batch.column("__text").slice(lo, hi - lo).take(pa.array(fresh))
+                    yield pa.record_batch([pa.array(labels[home], pa.int32()), pa.array(home, pa.int32()), text], names=["bucket", "home", "text"])
 
     return run
 
 
-def _count(buckets: int) -> Mapper:
-    """The number of classes of each n-gram, by bucket of the class."""
+def _classes_in(rows: pa.Table, n: int, fold_case: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, n-grams and their bounds of the different classes of a bucket, in order of key."""
+    keys, sizes, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    for batch in rows.select(["text"]).combine_chunks().to_batches():
+        for _, _, data, offs in text_chunks(batch, "text"):
+            x, bounds = sets_of(data, offs, n, fold_case)
+            keys.append(digests(x, bounds)[0])
+            sizes.append(np.diff(bounds))
+            held.append(x)
+    key, size, x = np.concatenate(keys), np.concatenate(sizes), np.concatenate(held)
+    begin = np.cumsum(size) - size
+    key, first = np.unique(key, return_index=True)
+    size, begin = size[first], begin[first]
+    bounds = np.concatenate(([0], np.cumsum(size)))
+    return key, x[np.repeat(begin - bounds[:-1], size) + np.arange(bounds[-1])], bounds
+
+
+def _dealt_order(x: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which different n-grams are dealt, and their buckets in that order."""
+    bucket = _place(x, buckets)
+    by = np.argsort(bucket, kind="stable")
+    return by, bucket[by]
+
+
+def _deal(n: int, fold_case: bool, buckets: int) -> Mapper:
+    """32 bits and the count of each n-gram of a bucket of classes, by bucket of the n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = even_labels(buckets)
         for rows in grouped(batches, ["bucket"]):
-            x, key, src, n = _unpacked(rows, x=np.uint32, key=np.int64, src=np.int32, n=np.int32)
-            once = np.sort(np.unique(key, return_index=True)[1])  # other tasks may have dealt the class too
-            whole = np.zeros(len(key), bool)
-            whole[once] = True
-            x, key, src, n = x[np.repeat(whole, n)], key[once], src[once], n[once].astype(np.int64)
-            _, which, times = np.unique(x, return_inverse=True, return_counts=True)
-            held = np.minimum(times, 255).astype(np.uint8)[which]
-            target = _place(key, buckets)
-            by = np.argsort(target, kind="stable")
-            begin = np.cumsum(n) - n
-            moved = np.repeat(begin[by] - (np.cumsum(n[by]) - n[by]), n[by]) + np.arange(len(held))
-            yield _packed(target[by], n[by], held[moved], labels, key=key[by], src=src[by])
+            _, x, _ = _classes_in(rows, n, fold_case)
+            x, times = np.unique(x, return_counts=True)
+            by, bucket = _dealt_order(x, buckets)
+            at = _heads(bucket)
+            ends = np.append(at[1:], len(x))
+            high, times = (x[by] >> U64(32)).astype(np.uint32), np.minimum(times[by], 255).astype(np.uint8)
+            packed = [[v[a:b].tobytes() for a, b in zip(at, ends)] for v in (high, times)]
+            home = np.full(len(at), rows.column("home")[0].as_py(), np.int32)
+            yield pa.record_batch([pa.array(labels[bucket[at]], pa.int32()), pa.array(home), pa.array(bucket[at]), *(pa.array(v, pa.binary()) for v in packed)], names=["bucket", "home", "src", "x", "times"])
 
     return run
 
 
-def _texts(n: int, fold_case: bool, buckets: int) -> Mapper:
-    """The text of every class, once a task, by bucket of the class."""
+def _count(buckets: int) -> Mapper:
+    """The total of each n-gram, at most 255, by the bucket of classes that asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, seen = even_labels(buckets), set()
-        for batch in batches:
-            for lo, hi, data, offs in text_chunks(batch, "__text"):
-                x, bounds = sets_of(data, offs, n, fold_case)
-                key = digests(x, bounds)[0]
-                fresh = np.flatnonzero(_unseen(key, np.diff(bounds), seen))
-                if len(fresh):
-                    text = batch.column("__text").slice(lo, hi - lo).take(pa.array(fresh))
-                    yield pa.record_batch([pa.array(labels[_place(key[fresh], buckets)], pa.int32()), text], names=["bucket", "text"])
+        labels = even_labels(buckets)
+        for rows in grouped(batches, ["bucket"]):
+            x, times = _unpacked(rows, x=np.uint32, times=np.uint8)
+            which = np.unique(x, return_inverse=True)[1]
+            total = np.minimum(np.bincount(which, times), 255).astype(np.uint8)[which]
+            home, src = rows.column("home").to_numpy(), rows.column("src").to_numpy()
+            n = np.array([len(v.as_buffer()) for c in rows.column("times").chunks for v in c])
+            ends = np.cumsum(n)
+            yield pa.record_batch([pa.array(labels[home], pa.int32()), pa.array(src), pa.array([total[b - k : b].tobytes() for b, k in zip(ends, n)], pa.binary())], names=["bucket", "src", "times"])
 
     return run
 
 
 def _gather(n: int, fold_case: bool, num: int, den: int, buckets: int) -> Mapper:
-    """(key, size, set, prefix) of the classes that can have a link: their shared n-grams by hash, and the first of them in the global order."""
+    """(key, size, shared, set, prefix) of the classes that can have a link: their shared n-grams by hash, and the first of them in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, ["bucket"]):
-            held, key, src, times = _unpacked(rows, x=np.uint8, key=np.int64, src=np.int32, n=np.int32)
-            by = np.lexsort((src, key))
-            begin, times = (np.cumsum(times) - times)[by], times[by].astype(np.int64)
-            at = _heads(key[by])
-            code_at = dict(zip(key[by][at].tolist(), zip(at.tolist(), np.append(at[1:], len(by)).tolist())))
-            seen: set[int] = set()
-            for batch in pa.table({"text": rows.column("text").filter(pc.is_valid(rows.column("text")))}).combine_chunks().to_batches():
-                for _, _, data, offs in text_chunks(batch, "text"):
-                    x, bounds = sets_of(data, offs, n, fold_case)
-                    out = []
-                    for i, k in enumerate(digests(x, bounds)[0].tolist()):
-                        if k in seen:
-                            continue
-                        seen.add(k)
-                        own, (a, b) = x[bounds[i] : bounds[i + 1]], code_at[k]
-                        codes = np.concatenate([held[p : p + t] for p, t in zip(begin[a:b].tolist(), times[a:b].tolist())])
-                        if len(codes) != len(own):
-                            raise RuntimeError("a class came back with other n-grams")
-                        bucket = _place(own, buckets)
-                        number = np.empty(len(own), np.uint8)
-                        number[np.argsort(bucket, kind="stable")] = codes
-                        shared = own[number > 1]
-                        first = len(shared) - -(-num * len(own) // den) + 1  # n-grams of this class alone come before all of these
-                        if first > 0:
-                            order = np.argsort(number[number > 1], kind="stable")[:first]
-                            out.append((k, len(own), len(shared), shared.tobytes(), shared[order].tobytes()))
-                    if out:
-                        yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["key", "size", "shared", "set", "prefix"])
+            told = rows.filter(pc.is_valid(rows.column("times"))).sort_by("src")
+            key, x, bounds = _classes_in(rows.filter(pc.is_null(rows.column("times"))), n, fold_case)
+            different, which = np.unique(x, return_inverse=True)
+            totals = np.empty(len(different), np.uint8)
+            totals[_dealt_order(different, buckets)[0]] = _unpacked(told, times=np.uint8)[0]
+            total = totals[which]
+            size = np.diff(bounds)
+            shared = np.add.reduceat((total > 1).astype(np.int64), bounds[:-1]) if len(size) else size
+            first = shared - -(-num * size // den) + 1  # n-grams of this class alone come before all of these
+            able = np.flatnonzero(first > 0)
+            for lo in range(0, len(able), 2000):
+                part, sets, prefixes = able[lo : lo + 2000], [], []
+                for i in part:
+                    own, held = x[bounds[i] : bounds[i + 1]], total[bounds[i] : bounds[i + 1]]
+                    own, held = own[held > 1], held[held > 1]
+                    sets.append(own.tobytes())
+                    prefixes.append(own[np.argsort(held, kind="stable")[: first[i]]].tobytes())
+                yield pa.record_batch([pa.array(key[part]), pa.array(size[part]), pa.array(shared[part]), pa.array(sets, pa.binary()), pa.array(prefixes, pa.binary())], names=["key", "size", "shared", "set", "prefix"])
 
     return run
 
@@ -250,11 +239,12 @@ def _post(buckets: int) -> Mapper:
             prefixes = [np.frombuffer(v.as_buffer(), U64) for v in batch.column("prefix")]
             n = np.array([len(p) for p in prefixes])
             x, row = np.concatenate(prefixes), np.repeat(np.arange(len(n)), n)
-            by, bucket = _by_bucket(x, row, buckets)
-            bucket, row = bucket[by], row[by]
-            at = _heads(bucket, row)
-            key, size = batch.column("key").to_numpy(), batch.column("size").to_numpy()
-            yield _packed(bucket[at], np.diff(np.append(at, len(x))), x[by], labels, key=key[row[at]], size=size[row[at]])
+            by, bucket = _dealt_order(x, buckets)
+            at = _heads(bucket)
+            ends = np.append(at[1:], len(x))
+            key, size = batch.column("key").to_numpy()[row[by]], batch.column("size").to_numpy()[row[by]]
+            packed = [[v[a:b].tobytes() for a, b in zip(at, ends)] for v in (x[by], key, size)]
+            yield pa.record_batch([pa.array(labels[bucket[at]], pa.int32()), *(pa.array(v, pa.binary()) for v in packed)], names=["bucket", "x", "key", "size"])
 
     return run
 
@@ -286,8 +276,7 @@ def _chains(num: int, den: int) -> Mapper:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, ["bucket"]):
-            x, key, size, n = _unpacked(rows, x=U64, key=np.int64, size=np.int64, n=np.int32)
-            key, size = np.repeat(key, n), np.repeat(size, n)
+            x, key, size = _unpacked(rows, x=U64, key=np.int64, size=np.int64)
             by = np.lexsort((key, size, x))
             x, key, size = x[by], key[by], size[by]
             at = np.flatnonzero((x[1:] == x[:-1]) & (den * size[:-1] >= num * size[1:]))
@@ -425,12 +414,12 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den:
     total = classes.agg(F.sum("size")).first()[0] or 0
     buckets = max(spark_n, -(-total // BUCKET_NGRAMS))
     by_bucket = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    text = slim.where("__id is not null").select("__text")
-    dealt = by_bucket(text.mapInArrow(_deal(n, fold_case, buckets), "bucket int, n binary, key binary, src binary, x binary"))
-    numbers = dealt.mapInArrow(_count(buckets), "bucket int, n binary, key binary, src binary, x binary").withColumn("text", F.lit(None).cast("string"))
-    texts = text.mapInArrow(_texts(n, fold_case, buckets), "bucket int, text string").select("bucket", *[F.lit(None).cast("binary").alias(c) for c in ("n", "key", "src", "x")], "text")
-    able = cut(by_bucket(numbers.unionByName(texts)).mapInArrow(_gather(n, fold_case, num, den, buckets), "key long, size long, shared long, set binary, prefix binary"))
-    chains = by_bucket(able.select("key", "size", "prefix").mapInArrow(_post(buckets), "bucket int, n binary, key binary, size binary, x binary")).mapInArrow(_chains(num, den), "a long, b long")
+    texts = by_bucket(slim.where("__id is not null").select("__text").mapInArrow(_texts(n, fold_case, buckets), "bucket int, home int, text string"))
+    dealt = by_bucket(texts.mapInArrow(_deal(n, fold_case, buckets), "bucket int, home int, src int, x binary, times binary"))
+    totals = dealt.mapInArrow(_count(buckets), "bucket int, src int, times binary").withColumn("text", F.lit(None).cast("string"))
+    both = totals.unionByName(texts.select("bucket", F.lit(None).cast("int").alias("src"), F.lit(None).cast("binary").alias("times"), "text"))
+    able = cut(by_bucket(both).mapInArrow(_gather(n, fold_case, num, den, buckets), "key long, size long, shared long, set binary, prefix binary"))
+    chains = by_bucket(able.select("key", "size", "prefix").mapInArrow(_post(buckets), "bucket int, x binary, key binary, size binary")).mapInArrow(_chains(num, den), "a long, b long")
     families = components(chains)
     tops = F.array(*[F.lit(int(t)) for t in TOPS])
     first = F.size(F.filter(tops, lambda t: t < F.col("size")))
