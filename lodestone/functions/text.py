@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: words that carry no meaning in code
@@ -62,6 +62,24 @@ def tokenize(text: Column) -> Column:
     return F.filter(low, lambda t: (F.octet_length(t) >= 2) & ~t.isin(*STOP_WORDS))
 
 
+WORDS = r"([\p{L}\p{N}_]+)"
+PARTS = r"_|(?<=\p{Ll})(?=\p{Lu})|(?<=[^_])(?=\p{Lu}\p{Ll})"
+
+
+def counted_tokens(docs: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
+    """(id, term, n): the tokens of tokenize(), a row for each identifier or part; a text without any gives one row with a null term and n 0.
+
+    Identifiers are exploded first, so that splitting, lower case and stop words run in generated code; plain words, which count twice, are not split.
+    """
+    idents = docs.select(F.col(key).alias("id"), F.explode_outer(F.regexp_extract_all(F.col(text), F.lit(WORDS), 1)).alias("w"))
+    compound = F.col("w").rlike(r"_|\p{Lu}")
+    both = F.concat(F.split("w", PARTS), F.array("w"))
+    terms = idents.select("id", F.explode_outer(F.when(compound, both).otherwise(F.array("w"))).alias("t"), F.when(compound, 1).otherwise(2).alias("n"))
+    low = terms.select("id", F.lower("t").alias("t"), "n")
+    real = F.col("t").isNotNull() & (F.octet_length("t") >= 2) & ~F.col("t").isin(*STOP_WORDS)
+    return low.select("id", F.when(real, F.col("t")).alias("term"), F.when(real, F.col("n")).otherwise(0).alias("n"))
+
+
 def trigrams(text: Column) -> Column:
     """Runs of three characters; the whole text if it is shorter."""
     return F.when(F.length(text) < 3, F.array(text)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: F.substr(text, i, F.lit(3))))

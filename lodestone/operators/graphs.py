@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.shared import settle
+
 # fixed values: method names that every type has
 GENERIC_METHODS = "new default clone fmt from into as_ref as_mut deref drop eq ne cmp partial_cmp hash next iter len is_empty to_string index index_mut".split()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one of our own where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, so that a loop's lineage stays short."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, out_degree, in_degree), one shuffle: every edge counts once at either end."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")

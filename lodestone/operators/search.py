@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import glob_regex, is_test_file, relevance, synonyms, tokenize, trigrams
+from lodestone.functions.text import counted_tokens, glob_regex, is_test_file, relevance, synonyms, tokenize, trigrams
+from lodestone.operators.shared import settle
 
 K1, B = 1.2, 0.75
 RRF_K, EXACT_BOOST, FUNCTION_BOOST = 60.0, 2.0, 1.5
@@ -34,10 +36,17 @@ def with_context(lines: DataFrame, hits: DataFrame, before: int = 3, after: int
     return near.join(lines.select("path", "line", "text"), ["path", "line"]).groupBy("path", "hit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n").alias("context"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer partitions than there are cores; larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def postings(docs: DataFrame, text: str = "text", key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(id, term, tf) and (id, dl) of docs."""
-    tokens = docs.select(F.col(key).alias("id"), F.coalesce(tokenize(F.col(text)), F.array().cast("array<string>")).alias("t"))
-    return tokens.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")), tokens.select("id", F.size("t").alias("dl"))
+    """(id, term, tf) and (id, dl) of docs: the index that rankings read, tokenised once and written to the shared folder."""
+    slim = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    counted = settle(counted_tokens(spread(slim)).groupBy("id", "term").agg(F.sum("n").alias("tf")))
+    return counted.where("term is not null"), counted.groupBy("id").agg(F.sum("tf").alias("dl"))
 
 
 def check_query(query: str) -> None:
@@ -54,29 +63,28 @@ def query_terms(docs: DataFrame, query: str, expand: bool = False) -> list[str]:
     return found + [s for t in found for s in synonyms().get(t, [])] if expand else found
 
 
-def _times(tokens: str, word: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == word))
+Index = tuple[DataFrame, DataFrame]
 
 
-def bm25(docs: DataFrame, query: str, k: int = 10, compat: bool = False, expand: bool = False, text: str = "text", key: str = "id") -> DataFrame:
-    """(id, score, rank from 0) of the k best documents.
+def bm25(docs: DataFrame, query: str, k: int = 10, compat: bool = False, expand: bool = False, text: str = "text", key: str = "id", index: Index | None = None) -> DataFrame:
+    """(id, score, rank from 0) of the k best documents, from index, which postings() gives, or from docs.
 
-    Tokens are counted in one pass over each text for the few query terms only, so nothing but (id, counts) leaves the
-    scan. A query term that occurs twice counts twice; compat multiplies a term's score by its frequency. An id that holds the query doubles its score. Ties go by id.
+    A query term that occurs twice counts twice; compat multiplies a term's score by its frequency. An id that holds the query doubles its score. Ties go by id.
     """
     terms = query_terms(docs, query, expand)
     wanted = sorted(set(terms))
-    tokens = docs.select(F.col(key).alias("id"), F.coalesce(tokenize(F.col(text)), F.array().cast("array<string>")).alias("t"))
-    counted = tokens.select("id", F.size("t").alias("dl"), *[_times("t", w).alias(f"tf{i}") for i, w in enumerate(wanted)])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))]).first()
-    n, avgdl = stats["n"], stats["avgdl"] or 1.0
-    total = F.lit(0.0)
-    for i, w in enumerate(wanted):
-        df, tf = stats[f"df{i}"], F.col(f"tf{i}").cast("double")
-        idf = F.log(F.lit((n - df + 0.5) / (df + 0.5) + 1.0))
-        one = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-        total = total + F.when(tf > 0, one * terms.count(w) * (tf if compat else 1.0)).otherwise(0.0)
-    scored = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(wanted))) or "false").select("id", F.round(total * F.when(F.contains(F.lower(F.col("id").cast("string")), F.lit(query.lower())), EXACT_BOOST).otherwise(1.0), 6).alias("score"))
+    tf, dl = index or postings(docs, text, key)
+    held = tf.where(F.col("term").isin(wanted) if wanted else F.lit(False))
+    df = {r["term"]: r["df"] for r in held.groupBy("term").agg(F.count("*").alias("df")).collect()}  # as many rows as the query has words
+    n, avgdl = dl.agg(F.count("*"), F.avg("dl")).first()
+    weight = F.lit(0.0)
+    for w in wanted:
+        seen = df.get(w, 0)
+        weight = F.when(F.col("term") == w, math.log((n - seen + 0.5) / (seen + 0.5) + 1.0) * terms.count(w)).otherwise(weight)
+    f = F.col("tf").cast("double")
+    one = weight * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0))) * (f if compat else 1.0)
+    boost = F.when(F.contains(F.lower(F.col("id").cast("string")), F.lit(query.lower())), EXACT_BOOST).otherwise(1.0)
+    scored = held.join(dl, "id").groupBy("id").agg(F.sum(one).alias("s")).select("id", F.round(F.col("s") * boost, 6).alias("score"))
     return ranked(scored, k)
 
 
@@ -86,37 +94,57 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", (F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1).cast("int"))
 
 
-def tfidf_weights(docs: DataFrame, text: str = "text", key: str = "id", vocabulary: int | None = None) -> DataFrame:
-    """(id, term, w) unit vectors of tf * (ln((N + 1) / (df + 1)) + 1), tf being the share of a text's tokens; vocabulary keeps the terms of highest df."""
-    tf, dl = postings(docs, text, key)
+def _weighed(index: Index, vocabulary: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, term, w) with w = tf * (ln((N + 1) / (df + 1)) + 1), tf being the share of a text's tokens, and (term, idf)."""
+    tf, dl = index
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     if vocabulary:
         df = df.orderBy(F.desc("df"), "term").limit(vocabulary)
-    n = docs.count()
-    weighed = tf.join(df, "term").join(dl, "id").select("id", "term", (F.col("tf") / F.col("dl") * (F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1)).alias("w"))
+    idf = df.select("term", (F.log(F.lit(dl.count() + 1.0) / (F.col("df") + 1)) + 1).alias("idf"))
+    return tf.join(idf, "term").join(dl, "id").select("id", "term", (F.col("tf") / F.col("dl") * F.col("idf")).alias("w")), idf
+
+
+def tfidf_weights(docs: DataFrame, text: str = "text", key: str = "id", vocabulary: int | None = None, index: Index | None = None) -> DataFrame:
+    """(id, term, w): unit vectors of the documents; vocabulary keeps the terms of highest document frequency."""
+    weighed, _ = _weighed(index or postings(docs, text, key), vocabulary)
     norm = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighed.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def tfidf(docs: DataFrame, query: str, k: int = 10, text: str = "text", key: str = "id") -> DataFrame:
+def tfidf(docs: DataFrame, query: str, k: int = 10, text: str = "text", key: str = "id", index: Index | None = None) -> DataFrame:
     """(id, score, rank) by cosine of TF-IDF vectors, the query's with the documents' statistics."""
     terms = query_terms(docs, query)
     wanted = sorted(set(terms))
-    tokens = docs.select(F.col(key).alias("id"), F.coalesce(tokenize(F.col(text)), F.array().cast("array<string>")).alias("t"))
-    tf, dl = postings(docs, text, key)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.count()
-    idf = F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1
-    q = df.where(F.col("term").isin(wanted)).select("term", idf.alias("idf")).collect()
-    weights = {r["term"]: terms.count(r["term"]) / len(terms) * r["idf"] for r in q}
+    weighed, idf = _weighed(index or postings(docs, text, key))
+    known = idf.where(F.col("term").isin(wanted) if wanted else F.lit(False)).collect()  # as many rows as the query has words
+    weights = {r["term"]: terms.count(r["term"]) / len(terms) * r["idf"] for r in known}
     norm = sum(w * w for w in weights.values()) ** 0.5 or 1.0
-    weighed = tf.join(df, "term").join(dl, "id").select("id", "term", (F.col("tf") / F.col("dl") * idf).alias("w"))
-    table = F.create_map(*[F.lit(x) for t, w in sorted(weights.items()) for x in (t, w / norm)]) if weights else F.create_map(F.lit(""), F.lit(0.0))
-    dot = F.sum(F.coalesce(F.try_element_at(table, F.col("term")), F.lit(0.0)) * F.col("w"))
-    scored = weighed.groupBy("id").agg(dot.alias("d"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n")).where("d > 0").select("id", F.round(F.col("d") / F.col("n"), 6).alias("score"))
+    of_query = F.lit(0.0)
+    for t, w in sorted(weights.items()):
+        of_query = F.when(F.col("term") == t, w / norm).otherwise(of_query)
+    scored = weighed.groupBy("id").agg(F.sum(of_query * F.col("w")).alias("d"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n")).where("d > 0").select("id", F.round(F.col("d") / F.col("n"), 6).alias("score"))
     return ranked(scored, k)
 
 
+def similar(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(item, id, score): for each text of items the document of the highest cosine between TF-IDF vectors, ties to the smaller id.
+
+    Both vectors are weighed by the documents' statistics and normalised; terms that no document has have no weight. Only terms of items meet
+    the documents' vectors.
+    """
+    weighed, idf = _weighed(postings(docs, text, key))
+    weighed = settle(weighed)
+    norm = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    count = counted_tokens(items, item_text, item_key).where("term is not null").groupBy("id", "term").agg(F.sum("n").alias("n"))
+    total = count.groupBy("id").agg(F.sum("n").alias("total"))
+    q = settle(count.join(total, "id").join(idf, "term").select(F.col("id").alias("item"), "term", (F.col("n") / F.col("total") * F.col("idf")).alias("qw")))
+    size = q.groupBy("item").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("size"))
+    dots = weighed.join(q, "term").groupBy("item", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("d"))
+    scored = dots.join(norm, "id").join(size, "item").select("item", "id", F.round(F.col("d") / F.col("norm") / F.col("size"), 6).alias("score"))
+    best = scored.groupBy("item").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b"))
+    return best.select("item", F.col("b.id").alias("id"), (-F.col("b.s")).alias("score"))
+
+
 def fuse(lexical: DataFrame, vector: DataFrame, query: str, k: int = 10, bm25_weight: float = 1.0, tfidf_weight: float = 1.0, functions: Column | None = None) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (id, score, rank): weight / (60 + rank + 1), doubled for ids that hold the query."""
     boost = F.when(F.contains(F.lower(F.col("id").cast("string")), F.lit(query.lower())), EXACT_BOOST).otherwise(1.0)
@@ -134,7 +162,8 @@ def hybrid(docs: DataFrame, query: str, k: int = 10, mode: str = "hybrid", text:
         return bm25(docs, query, k, text=text, key=key)
     if mode == "tfidf":
         return tfidf(docs, query, k, text=text, key=key)
-    return fuse(bm25(docs, query, 3 * k, text=text, key=key), tfidf(docs, query, 3 * k, text=text, key=key), query, k)
+    index = postings(docs, text, key)
+    return fuse(bm25(docs, query, 3 * k, index=index), tfidf(docs, query, 3 * k, index=index), query, k)
 
 
 def chunk_by_lines(lines: DataFrame, size: int = 100) -> DataFrame:
