@@ -127,15 +127,29 @@ def redact_secret(text: Column) -> Column:
     return F.when(F.length(text) <= 8, F.repeat(F.lit("*"), F.length(text))).otherwise(F.concat(F.left(text, F.lit(4)), F.lit("..."), F.right(text, F.lit(4))))
 
 
-# fixed values: forms of keys, and what replaces them
+# fixed values: forms of secrets in the order in which they are replaced, and what replaces them
 REDACTIONS = [
-    (r"AKIA[0-9A-Z]{16}", "[AWS_ACCESS_KEY_REDACTED]"),
+    (r"(?i)(api[_-]?key|apikey)\s*[:=]\s*[\"']?([a-zA-Z0-9_-]{20,})[\"']?", "$1=[REDACTED]"),
+    (r"(?i)(secret[_-]?key|secretkey)\s*[:=]\s*[\"']?([a-zA-Z0-9_-]{20,})[\"']?", "$1=[REDACTED]"),
+    (r"(?i)(access[_-]?token|accesstoken)\s*[:=]\s*[\"']?([a-zA-Z0-9_-]{20,})[\"']?", "$1=[REDACTED]"),
+    (r"(?i)(auth[_-]?token|authtoken)\s*[:=]\s*[\"']?([a-zA-Z0-9_-]{20,})[\"']?", "$1=[REDACTED]"),
+    (r"AKIA[0-9A-Z]{16}", "[AWS_KEY_REDACTED]"),
+    (r"(?i)aws[_-]?secret[_-]?access[_-]?key\s*[:=]\s*[\"']?([a-zA-Z0-9/+=]{40})[\"']?", "AWS_SECRET_ACCESS_KEY=[REDACTED]"),
     (r"ghp_[a-zA-Z0-9]{36}", "[GITHUB_TOKEN_REDACTED]"),
+    (r"gho_[a-zA-Z0-9]{36}", "[GITHUB_OAUTH_REDACTED]"),
+    (r"ghu_[a-zA-Z0-9]{36}", "[GITHUB_USER_TOKEN_REDACTED]"),
+    (r"ghs_[a-zA-Z0-9]{36}", "[GITHUB_SERVER_TOKEN_REDACTED]"),
+    (r"github_pat_[a-zA-Z0-9_]{22,}", "[GITHUB_PAT_REDACTED]"),
+    (r"-----BEGIN (RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----[\s\S]*?-----END (RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", "[PRIVATE_KEY_REDACTED]"),
+    (r"(?i)(password|passwd|pwd)\s*[:=]\s*[\"']?([^\"'\s]{8,})[\"']?", "$1=[REDACTED]"),
+    (r"(?i)bearer\s+[a-zA-Z0-9_=-]+\.[a-zA-Z0-9_=-]+\.?[a-zA-Z0-9_=-]*", "Bearer [JWT_REDACTED]"),
+    (r"(?i)(mongodb|postgres|mysql|redis)://[^@]+@", "$1://[CREDENTIALS_REDACTED]@"),
+    (r"xox[baprs]-[0-9]{10,13}-[0-9]{10,13}[a-zA-Z0-9-]*", "[SLACK_TOKEN_REDACTED]"),
     (r"sk_live_[a-zA-Z0-9]{24,}", "[STRIPE_KEY_REDACTED]"),
     (r"rk_live_[a-zA-Z0-9]{24,}", "[STRIPE_RESTRICTED_KEY_REDACTED]"),
     (r"SG\.[a-zA-Z0-9_-]{22}\.[a-zA-Z0-9_-]{43}", "[SENDGRID_KEY_REDACTED]"),
     (r"SK[a-f0-9]{32}", "[TWILIO_KEY_REDACTED]"),
-    (r"(?i)(secret|token|key|credential|auth)([^\n]*)[\"']([a-f0-9]{32,64})[\"']", "$1=[REDACTED]"),
+    (r"(?i)(secret|token|key|credential|auth)[^\n]*[\"']([a-f0-9]{32,64})[\"']", "$1=[REDACTED]"),
 ]
 
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import is_comment_line
+
 KEY = ["repo", "path", "fn"]
 _OUT = "repo string, path string, fn string, finding string, var string, def_line int, use_line int, block int"
 
@@ -144,7 +146,7 @@ def unused_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 SOURCES = [("user_input", r"\b(input|request\.(args|form|get_json|params|query)|sys\.argv|os\.environ|req\.(body|query|params))\b"), ("file", r"\b(open|read_text|readFile(Sync)?)\s*\("), ("network", r"\b(requests\.get|urlopen|fetch)\s*\(")]
 SINKS = [("sql", r"\b(execute|executemany|raw|query)\s*\("), ("command", r"\b(os\.system|subprocess\.\w+|popen|exec|eval)\s*\("), ("path", r"\b(open|unlink|rmtree|sendFile)\s*\("), ("xss", r"\b(innerHTML|document\.write|render_template_string|Markup)\b")]
 SANITIZERS = {"sql": r"\b(escape|parameterize|quote_identifier)\s*\(", "command": r"\b(shlex\.quote|escapeshellarg)\s*\(", "path": r"\b(secure_filename|basename|realpath)\s*\(", "xss": r"\b(escape|bleach\.clean|sanitize\w*)\s*\("}
-FLOWS = "path string, source_kind string, sink_kind string, variable string, source_line int, sink_line int, sanitized boolean"
+FLOWS = "repo string, path string, source_kind string, sink_kind string, variable string, source_line int, sink_line int, sanitized boolean"
 _ASSIGN = re.compile(r"^\s*(?:let |const |var |auto |final )?([A-Za-z_]\w*)\s*(?::[^=]+)?(?<![<>=!])=(?!=)\s*(.+)$")
 
 
@@ -161,8 +163,8 @@ def _taint(f: pd.DataFrame) -> pd.DataFrame:
                 args = bare[m.end() :]
                 for var, (origin, start) in held.items():
                     if re.search(rf"\b{re.escape(var)}\b", args):
-                        safe = any(re.search(SANITIZERS[kind], t or "") for k, t in lines if start <= k <= n)
-                        rows.append((f.path.iloc[0], origin, kind, var, start, n, safe))
+                        safe = any(re.search(SANITIZERS[kind], t or "") for k, t in lines if start <= k < n)
+                        rows.append((f.repo.iloc[0], f.path.iloc[0], origin, kind, var, start, n, safe))
         m = _ASSIGN.match(bare)
         if m:
             var, rhs = m.groups()
@@ -178,8 +180,8 @@ def _taint(f: pd.DataFrame) -> pd.DataFrame:
 
 
 def taint_flows(lines: DataFrame) -> DataFrame:
-    """Flows of lines(path, line, text) from sources through assignments to sinks; a file is one ordered scan."""
-    return lines.select("path", "line", "text").groupBy("path").applyInPandas(_taint, FLOWS)
+    """Flows of lines(repo, path, line, text) from sources through assignments to sinks; a file is one ordered scan."""
+    return lines.select("repo", "path", "line", "text").groupBy("repo", "path").applyInPandas(_taint, FLOWS)
 
 
 def severity_of_flow(flows: DataFrame) -> DataFrame:
@@ -220,15 +222,29 @@ def infer_type(expr: str, known: dict[str, str]) -> str:
 
 
 def infer_types(lines: DataFrame) -> DataFrame:
-    """(path, line, variable, type) of the assignments of each file, in order."""
+    """(repo, path, line, variable, type) of the assignments of each file, in order."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         known, rows = {}, []
-        for path, n, text in f.sort_values("line")[["path", "line", "text"]].itertuples(index=False):
+        for repo, path, n, text in f.sort_values("line")[["repo", "path", "line", "text"]].itertuples(index=False):
             m = _ASSIGN.match(text or "")
             if m:
                 known[m[1]] = infer_type(m[2].split("#")[0], known)
-                rows.append((path, n, m[1], known[m[1]]))
-        return pd.DataFrame(rows, columns=["path", "line", "variable", "type"])
+                rows.append((repo, path, n, m[1], known[m[1]]))
+        return pd.DataFrame(rows, columns=["repo", "path", "line", "variable", "type"])
+
+    return lines.select("repo", "path", "line", "text").groupBy("repo", "path").applyInPandas(run, "repo string, path string, line int, variable string, type string")
+
+
+def taint_points(lines: DataFrame) -> DataFrame:
+    """(repo, path, line, role, kind) of every line that brings outside data in (source) or is dangerous with it (sink); comments have none."""
+    bare = lines.where(~is_comment_line(F.col("text")))
+    made = [F.when(F.col("text").rlike(p), F.struct(F.lit(role).alias("role"), F.lit(kind).alias("kind"))) for role, table in (("source", SOURCES), ("sink", SINKS)) for kind, p in table]
+    found = bare.select("repo", "path", "line", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("m"))
+    return found.select("repo", "path", "line", "m.role", "m.kind")
+
 
-    return lines.select("path", "line", "text").groupBy("path").applyInPandas(run, "path string, line int, variable string, type string")
+def trace(flows: DataFrame, path: str | None = None, line: int | None = None) -> DataFrame:
+    """The flows through a file, or from or to one of its lines."""
+    here = flows if path is None else flows.where(F.col("path") == path)
+    return here if line is None else here.where((F.col("source_line") == line) | (F.col("sink_line") == line))

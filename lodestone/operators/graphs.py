@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,15 +129,15 @@ def strong_components(edges: DataFrame, most_rounds: int = 10000) -> DataFrame:
     return parts.unionByName(loops.join(parts.select("node"), "node", "left_anti").select("component", "node"))
 
 
-def peel(edges: DataFrame, importers_first: bool = True, most_rounds: int = 200) -> DataFrame:
-    """(node, level) by Kahn's peeling; nodes on or behind a cycle get no level (null)."""
+def peel(edges: DataFrame, importers_first: bool = True) -> DataFrame:
+    """(node, level) by Kahn's peeling, to the end however long the chains; nodes on or behind a cycle get no level (null)."""
     step = edges.select("src", "dst").where("src <> dst").distinct()
     if not importers_first:
         step = step.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     step = settle(step)
     left = settle(step.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     done = None
-    for level in range(most_rounds):
+    for level in itertools.count():
         open_now = settle(left.join(step, F.col("node") == F.col("dst"), "left_anti").withColumn("level", F.lit(level)))
         if open_now.isEmpty():
             break
@@ -152,14 +154,17 @@ def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
 
     functions(key, name, file). A callee that no function is called keeps its bare name.
     """
-    bare = F.element_at(F.split("callee", r"::|\."), -1)
-    scope = F.replace(F.col("scope_hint"), F.lit("::"), F.lit("/"))
-    c = calls.withColumn("__id", F.monotonically_increasing_id()).withColumn("bare", bare)
-    f = functions.select(F.col("key").alias("fkey"), F.col("name").alias("fname"), F.col("file").alias("ffile"))
-    inside = F.coalesce(F.contains("ffile", F.concat(F.lit("/"), scope, F.lit("/"))) | F.contains("ffile", F.concat(F.lit("/"), scope, F.lit("."))), F.lit(False))
-    order = F.struct((F.col("ffile") != F.col("file")).alias("a"), (~inside).alias("b"), F.col("fkey").alias("k"))
-    best = c.join(f, F.col("bare") == F.col("fname")).groupBy("__id").agg(F.min(order).alias("o")).select(F.col("__id").alias("i"), F.col("o.k").alias("k"))
-    return c.join(best, F.col("__id") == F.col("i"), "left").select("caller", "file", "callee", "scope_hint", F.coalesce("k", "bare").alias("target"))
+    scope = F.replace(F.coalesce("scope_hint", F.lit("")), F.lit("::"), F.lit("/"))
+    c = calls.withColumn("bare", F.element_at(F.split("callee", r"::|\."), -1)).withColumn("scope", scope)
+    f = functions.select(F.col("key").alias("fkey"), F.col("name").alias("bare"), F.col("file").alias("ffile"))
+    same = f.groupBy("bare", F.col("ffile").alias("file")).agg(F.min("fkey").alias("same"))
+    first = f.groupBy("bare").agg(F.min("fkey").alias("first"))
+    # a name and scope are looked up once, however many calls there are
+    hinted = c.where("scope <> ''").select("bare", "scope").distinct()
+    inside = F.contains("ffile", F.concat(F.lit("/"), F.col("scope"), F.lit("/"))) | F.contains("ffile", F.concat(F.lit("/"), F.col("scope"), F.lit(".")))
+    scoped = hinted.join(f, "bare").where(inside).groupBy("bare", "scope").agg(F.min("fkey").alias("scoped"))
+    met = c.join(same, ["bare", "file"], "left").join(scoped, ["bare", "scope"], "left").join(first, "bare", "left")
+    return met.select("caller", "file", "callee", "scope_hint", F.coalesce("same", "scoped", "first", "bare").alias("target"))
 
 
 def find_function(functions: DataFrame, wanted: str) -> DataFrame:

@@ -72,3 +72,36 @@ def summary(findings: DataFrame) -> DataFrame:
 
 def covering(findings: DataFrame, path: str, line: int, around: int = 0) -> DataFrame:
     return findings.where((F.col("path") == path) & (F.abs(F.col("line") - line) <= around))
+
+
+# fixed values: weaknesses of the yearly list of 25, with their names
+CWE_TOP25 = {
+    "CWE-787": "Out-of-bounds Write", "CWE-79": "Cross-site Scripting", "CWE-89": "SQL Injection", "CWE-416": "Use After Free", "CWE-78": "OS Command Injection",
+    "CWE-20": "Improper Input Validation", "CWE-125": "Out-of-bounds Read", "CWE-22": "Path Traversal", "CWE-352": "Cross-Site Request Forgery", "CWE-434": "Unrestricted Upload of File with Dangerous Type",
+    "CWE-862": "Missing Authorization", "CWE-476": "NULL Pointer Dereference", "CWE-287": "Improper Authentication", "CWE-190": "Integer Overflow or Wraparound", "CWE-502": "Deserialization of Untrusted Data",
+    "CWE-77": "Command Injection", "CWE-119": "Improper Restriction of Operations within the Bounds of a Memory Buffer", "CWE-798": "Use of Hard-coded Credentials", "CWE-918": "Server-Side Request Forgery", "CWE-306": "Missing Authentication for Critical Function",
+    "CWE-362": "Race Condition", "CWE-269": "Improper Privilege Management", "CWE-94": "Code Injection", "CWE-863": "Incorrect Authorization", "CWE-276": "Incorrect Default Permissions",
+}
+#: What to do about a weakness, for the rules that name it.
+FIXES = {"CWE-79": "Escape data before it goes into a page.", "CWE-89": "Bind values as parameters of the statement.", "CWE-78": "Pass arguments as a list, without a shell.", "CWE-22": "Resolve the path and compare it with its root.", "CWE-798": "Read the secret from the environment or a vault.", "CWE-319": "Use an encrypted connection."}
+
+
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+
+def cwe_top25(findings: DataFrame) -> DataFrame:
+    """(cwe_id, title, severity, n) for the weaknesses of the list that findings name."""
+    each = findings.select(F.explode("cwe").alias("cwe_id"), "severity").where(F.col("cwe_id").isin(*CWE_TOP25))
+    return each.groupBy("cwe_id", "severity").agg(F.count("*").alias("n")).select("cwe_id", _lookup(CWE_TOP25, F.col("cwe_id")).alias("title"), "severity", "n")
+
+
+def explain(findings: DataFrame) -> DataFrame:
+    """findings with cwe_id and title, a row for each weakness named; title is null for those beyond the list."""
+    return findings.withColumn("cwe_id", F.explode_outer("cwe")).withColumn("title", _lookup(CWE_TOP25, F.col("cwe_id")))
+
+
+def suggest(findings: DataFrame) -> DataFrame:
+    """findings with fix: the advice for the first weakness that has one, else a general one."""
+    known = F.filter(F.transform("cwe", lambda c: _lookup(FIXES, c)), lambda x: x.isNotNull())
+    return findings.withColumn("fix", F.coalesce(F.get(known, 0), F.lit("Review the line against its rule.")))

@@ -31,9 +31,9 @@ def search_code(lines: DataFrame, query: str, k: int = 10, file_pattern: str | N
 
 
 def with_context(lines: DataFrame, hits: DataFrame, before: int = 3, after: int = 3) -> DataFrame:
-    """Each hit (path, line) with the text of its neighbours; only hits fan out, by before + after + 1."""
-    near = hits.select("path", F.col("line").alias("hit"), F.explode(F.sequence(F.col("line") - before, F.col("line") + after)).alias("line"))
-    return near.join(lines.select("path", "line", "text"), ["path", "line"]).groupBy("path", "hit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n").alias("context"))
+    """Each hit (repo, path, line) with the text of its neighbours; only hits fan out, by before + after + 1."""
+    near = hits.select("repo", "path", F.col("line").alias("hit"), F.explode(F.sequence(F.col("line") - before, F.col("line") + after)).alias("line"))
+    return near.join(lines.select("repo", "path", "line", "text"), ["repo", "path", "line"]).groupBy("repo", "path", "hit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n").alias("context"))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -167,10 +167,10 @@ def hybrid(docs: DataFrame, query: str, k: int = 10, mode: str = "hybrid", text:
 
 
 def chunk_by_lines(lines: DataFrame, size: int = 100) -> DataFrame:
-    """(path, chunk, start_line, end_line, n_lines, content): runs of size lines without overlap."""
+    """(repo, path, chunk, start_line, end_line, n_lines, content): runs of size lines without overlap."""
     part = F.floor((F.col("line") - 1) / size).cast("int")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n")
-    return lines.groupBy("path", part.alias("chunk")).agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.count("*").alias("n_lines"), joined.alias("content"))
+    return lines.groupBy("repo", "path", part.alias("chunk")).agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.count("*").alias("n_lines"), joined.alias("content"))
 
 
 def search_chunks(chunks: DataFrame, query: str, k: int = 10) -> DataFrame:
@@ -201,7 +201,7 @@ def fuzzy_symbols(symbols: DataFrame, query: str, k: int = 20, boosts: dict[str,
 
 
 def best_snippet_line(lines: DataFrame, terms: list[str]) -> DataFrame:
-    """(path, line, n_terms): the first line of each path with the most of the terms."""
+    """(repo, path, line, n_terms): the first line of each path with the most of the terms."""
     low = F.lower("text")
     hits = sum((F.when(F.contains(low, F.lit(t)), 1).otherwise(0) for t in terms), F.lit(0))
-    return lines.select("path", "line", hits.alias("n_terms")).where("n_terms > 0").groupBy("path").agg(F.max(F.struct("n_terms", (-F.col("line")).alias("l"))).alias("b")).select("path", (-F.col("b.l")).alias("line"), F.col("b.n_terms").alias("n_terms"))
+    return lines.select("repo", "path", "line", hits.alias("n_terms")).where("n_terms > 0").groupBy("repo", "path").agg(F.max(F.struct("n_terms", (-F.col("line")).alias("l"))).alias("b")).select("repo", "path", (-F.col("b.l")).alias("line"), F.col("b.n_terms").alias("n_terms"))

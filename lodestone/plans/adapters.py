@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import language_of
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -53,6 +55,30 @@ def deps(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def source_files(spark: SparkSession, d: str) -> DataFrame:
+    """files(repo, path, language, content) written from parts: Python modules that import and call one another, settings and requirement lists.
+
+    Part k of size s calls the part (k * s) % 97 + 1; sizes decide which lines a module has, so every finding follows from the table.
+    """
+    s, k = F.col("p_size"), F.col("p_partkey").cast("long")
+    number = lambda c: c.cast("string")
+    to = number(F.pmod(k * s, F.lit(97)) + 1)
+    lines = [
+        F.lit("import os"), F.lit("import json as js"), F.concat(F.lit("from pkg.p"), to, F.lit(" import run_"), to), F.lit(""),
+        F.concat(F.lit("def run_"), number(k), F.lit("(a, b):")), F.concat(F.lit("    x = "), number(s)), F.lit("    while a > x:"), F.lit("        a = a - 1"),
+        F.when(s % 3 == 1, F.lit("    if b and z:")).otherwise(F.lit("    if b:")), F.concat(F.lit("        return run_"), to, F.lit("(a, b)")),
+        F.when(s % 6 == 0, F.lit("    q = shlex.quote(input())")).when(s % 3 == 0, F.lit("    q = input()")).otherwise(F.lit('    q = "text"')),
+        F.lit("    os.system(q)"), F.lit("    z = a"), F.when(s % 2 == 0, F.lit("    return z")).otherwise(F.lit("    return a")), F.when(s % 5 == 0, F.lit("    print(z)")),
+    ]
+    settings, wanted = s % 7 == 0, s % 11 == 0
+    path = F.when(settings, F.concat(F.lit("conf/p"), number(k), F.lit("/.env"))).when(wanted, F.concat(F.lit("req/p"), number(k), F.lit("/requirements.txt"))).otherwise(F.concat(F.lit("pkg/p"), number(k), F.lit(".py")))
+    content = F.when(settings, F.concat(F.lit("KEY="), number(s))).when(wanted, F.concat(F.lit("requests=="), number(s), F.lit("."), number(F.pmod(k, F.lit(30))), F.lit(".0\nflask\n"))).otherwise(F.concat_ws("\n", *lines))
+    return table(spark, d, "part").select(F.lit("parts").alias("repo"), path.alias("path"), content.alias("content")).withColumn("language", language_of(F.col("path")))
+
+
+#: The modules of source_files in SQL: k, its size s and the part that it calls.
+MODULES_SQL = "m AS (SELECT p_partkey AS k, p_size AS s, (p_partkey * p_size) % 97 + 1 AS dst, 'pkg/p' || p_partkey || '.py' AS path, 'run_' || p_partkey || '@5' AS fn FROM part WHERE p_size % 7 <> 0 AND p_size % 11 <> 0)"
+
 DEPS_SQL = """
 WITH deps AS (SELECT (['lodash','axios','requests','regex','golang.org/x/net','other'])[p_partkey % 6 + 1] AS name,
   (p_size % 5)::VARCHAR || '.' || (p_size % 40)::VARCHAR || '.' || (p_partkey % 30)::VARCHAR AS version,

@@ -35,6 +35,18 @@ def owasp(spark, d):
     return ru.by_category(ru.scan(pages(spark, d), RULES))
 
 
+def cwe_top(spark, d):
+    return ru.cwe_top25(ru.scan(pages(spark, d), RULES))
+
+
+def fixes(spark, d):
+    return ru.suggest(ru.scan(pages(spark, d), RULES)).select("rule_id", "fix").distinct()
+
+
+def explained(spark, d):
+    return ru.explain(ru.scan(pages(spark, d), RULES)).select("rule_id", "cwe_id", "title").distinct()
+
+
 def security_summary(spark, d):
     return ru.summary(ru.scan(pages(spark, d), RULES))
 
@@ -50,11 +62,8 @@ def secrets_all(spark, d):
 
 
 def redacted(spark, d):
-    return table(spark, d, "documents").where(F.col("text").rlike("token")).select("doc_id", F.length(tx.redact_secrets(F.col("text"))).alias("n_chars"))
-
-
-def redacted_all(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length(tx.redact_secrets(F.col("text"))).alias("n_chars"))
+    """Every document after all replacements."""
+    return table(spark, d, "documents").select("doc_id", F.md5(tx.redact_secrets(F.coalesce("text", F.lit("")))).alias("redacted_md5"))
 
 
 def entropies(spark, d):
@@ -182,10 +191,12 @@ def import_graph(spark, d):
 
 
 def _redacted_sql() -> str:
-    text = "text"
+    """All replacements, one around the other."""
+    made = "coalesce(text, '')"
     for pattern, into in tx.REDACTIONS:
-        text = "regexp_replace({}, '{}', '{}', 'g')".format(text, pattern.replace("'", "''"), into.replace("$1", "\\1"))
-    return f"SELECT doc_id, length({text}) AS n_chars FROM documents"
+        p, i = pattern.replace("'", "''"), into.replace("$1", "\\1")
+        made = f"regexp_replace({made}, '{p}', '{i}', 'g')"
+    return f"SELECT doc_id, md5({made}) AS redacted_md5 FROM documents"
 
 
 _VULN = DEPS_SQL + ", hit AS (SELECT d.*, a.adv_id, a.severity, a.fixed, v[1] <> f[1] AS breaking FROM deps d JOIN adv a ON d.ecosystem = a.eco AND d.name = a.package AND d.v < a.f)"
@@ -199,8 +210,10 @@ QUERIES = {
     "get_security_summary": (security_summary, f"WITH {_SCAN} SELECT rule_id, count(*) AS n, max(severity) AS risk FROM f GROUP BY 1"),
     "rule_secret": (secrets, "WITH ln AS (SELECT source || '/' || doc_id AS path, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line, unnest(string_split(text, chr(10))) AS t FROM documents), m AS (SELECT path, line, regexp_extract(t, '[a-f0-9]{40}') AS s FROM ln WHERE regexp_matches(t, '[a-f0-9]{40}')) SELECT path, line, left(s, 4) || '...' || right(s, 4) AS snippet FROM m WHERE (SELECT -sum(n / 40.0 * log2(n / 40.0)) FROM (SELECT count(*) AS n FROM (SELECT unnest(string_split(s, '')) AS ch) GROUP BY ch)) >= 3.0"),
     "rule_secret_all": (secrets_all, "WITH ln AS (SELECT source || '/' || doc_id AS path, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line, unnest(string_split(text, chr(10))) AS t FROM documents), a AS (SELECT path, line, regexp_extract_all(t, '[a-f0-9]{40}') AS hits, regexp_split_to_array(t, '[a-f0-9]{40}') AS parts FROM ln WHERE regexp_matches(t, '[a-f0-9]{40}')), m AS (SELECT path, line, hits, parts, unnest(hits) AS s, generate_subscripts(hits, 1) AS i FROM a) SELECT path, line, CAST(1 + length(array_to_string(parts[1:i], '')) + 40 * (i - 1) AS INTEGER) AS col, left(s, 4) || '...' || right(s, 4) AS snippet FROM m WHERE (SELECT -sum(n / 40.0 * log2(n / 40.0)) FROM (SELECT count(*) AS n FROM (SELECT unnest(string_split(s, '')) AS ch) GROUP BY ch)) >= 3.0"),
-    "redact_secrets": (redacted, "SELECT doc_id, length(regexp_replace(regexp_replace(text, 'AKIA[0-9A-Z]{16}', '[AWS_ACCESS_KEY_REDACTED]', 'g'), '(?i)(secret|token|key|credential|auth)([^\\n]*)[\"''][a-f0-9]{32,64}[\"'']', '\\1=[REDACTED]', 'g')) AS n_chars FROM documents WHERE regexp_matches(text, 'token')"),
-    "redact_secrets_all": (redacted_all, _redacted_sql()),
+    "suggest_fix": (fixes, f"WITH {_SCAN} SELECT DISTINCT rule_id, CASE rule_id WHEN 'WEB-001' THEN 'Use an encrypted connection.' WHEN 'WEB-002' THEN 'Escape data before it goes into a page.' ELSE 'Review the line against its rule.' END AS fix FROM f"),
+    "explain_vulnerability": (explained, f"WITH {_SCAN}, c AS (SELECT rule_id, unnest(CASE rule_id WHEN 'WEB-001' THEN ['CWE-319'] WHEN 'WEB-002' THEN ['CWE-79'] ELSE ['CWE-1021'] END) AS cwe_id FROM f) SELECT DISTINCT rule_id, cwe_id, CASE cwe_id WHEN 'CWE-79' THEN 'Cross-site Scripting' END AS title FROM c"),
+    "check_cwe_top25": (cwe_top, f"WITH {_SCAN} SELECT 'CWE-79' AS cwe_id, 'Cross-site Scripting' AS title, 'high' AS severity, count(*) AS n FROM f WHERE rule_id = 'WEB-002' HAVING count(*) > 0"),
+    "redact_secrets": (redacted, _redacted_sql()),
     "calculate_entropy": (entropies, "SELECT c_custkey, round((SELECT -sum(n / strlen(c_name) * log2(n / strlen(c_name))) FROM (SELECT count(*) AS n FROM (SELECT unnest(string_split(c_name, '')) AS ch) GROUP BY ch)), 6) AS bits FROM customer"),
     "check_dependencies": (check_dependencies, _VULN + " SELECT adv_id AS id, severity, breaking, count(*) AS n FROM hit GROUP BY 1, 2, 3"),
     "find_upgrade_path": (upgrade_path, _VULN + " SELECT name, version, min(fixed) AS to_version, min(severity) AS severity, bool_or(breaking) AS breaking, count(*) AS n FROM hit GROUP BY name, version, ecosystem"),

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import LANGUAGES, language_of
+from lodestone.functions.text import LANGUAGES, glob_regex, language_of
 
 SYMBOLS = "repo string, path string, name string, kind string, start_line int, end_line int, signature string, qualified_name string, doc_comment string"
 CALLS = "repo string, path string, caller string, callee string, line int, call_type string, scope_hint string"
@@ -170,3 +170,34 @@ def exports_of(symbols: DataFrame) -> DataFrame:
     """Public symbols: no leading underscore, and 'pub' or 'export' where the language asks for it."""
     asks = F.col("path").rlike(r"\.(rs|ts|tsx|js|jsx)$")
     return symbols.where(~F.startswith("name", F.lit("_")) & (~asks | F.col("signature").rlike(r"^(pub|export)\b"))).select("repo", F.col("path").alias("file"), "name", "kind", F.col("start_line").alias("line"))
+
+
+def find_symbols(symbols: DataFrame, name: str | None = None, kind: str | None = None, file_pattern: str | None = None) -> DataFrame:
+    """Symbols whose name holds name in any case, of a kind, in files that a glob matches."""
+    found = symbols
+    if name:
+        found = found.where(F.contains(F.lower("name"), F.lit(name.lower())))
+    if kind:
+        found = found.where(F.col("kind") == kind)
+    return found.where(F.col("path").rlike(glob_regex(file_pattern))) if file_pattern else found
+
+
+def definitions(symbols: DataFrame, name: str, file: str | None = None) -> DataFrame:
+    """Where a name is defined, in one file or in all."""
+    found = symbols.where(F.col("name") == name)
+    return found.where(F.col("path") == file) if file else found
+
+
+def symbol_at(symbols: DataFrame, positions: DataFrame) -> DataFrame:
+    """(repo, path, line, name, kind) of positions(repo, path, line): the first symbol around each; positions outside any symbol have none."""
+    met = positions.join(symbols, ["repo", "path"]).where("line between start_line and end_line")
+    first = met.groupBy("repo", "path", "line").agg(F.min(F.struct("start_line", "end_line", "name", "kind")).alias("s"))
+    return first.select("repo", "path", "line", "s.name", "s.kind")
+
+
+def usages(symbols: DataFrame, lines: DataFrame) -> DataFrame:
+    """(repo, name, path, line): every line that names a symbol of its repository, but for the lines that define it."""
+    words = lines.select("repo", "path", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_]\w*)"), 1))).alias("name"))
+    named = words.join(symbols.select("repo", "name").distinct(), ["repo", "name"])
+    own = symbols.select("repo", "name", "path", F.col("start_line").alias("line"))
+    return named.join(own, ["repo", "name", "path", "line"], "left_anti")
