@@ -170,7 +170,7 @@ QUERIES = {
     "scan_manifests": (dependencies, "SELECT 'req/p' || p_partkey || '/requirements.txt' AS path, unnest(['requests', 'flask']) AS name, unnest([p_size || '.' || p_partkey % 30 || '.0', '*']) AS version, 'pypi' AS ecosystem, NULL AS license, false AS dev FROM part WHERE p_size % 7 <> 0 AND p_size % 11 = 0"),
     "is_sensitive_file": (sensitive, "SELECT 'conf/p' || p_partkey || '/.env' AS path, 'unknown' AS language FROM part WHERE p_size % 7 = 0"),
     "get_ccg_manifest": (ccg_manifest, _sql("SELECT count(*) AS symbols, count(*) AS functions, 0::BIGINT AS classes, 0::BIGINT AS traits FROM m")),
-    "export_ccg_index": (ccg_index, None),
+    "export_ccg_index": (ccg_index, _sql("SELECT p, count(*) AS n FROM m, (SELECT unnest(['signature', 'filePath', 'kind', 'endLine', 'type', 'name', 'startLine', 'definesSymbol']) AS p) GROUP BY p")),
     "get_ccg_access_info": (ccg_access, None),
     "run_sparql_template": (functions_by_template, _sql("SELECT path AS file, '5' AS line, 'run_' || k AS name FROM m")),
     "get_hover_info": (symbol_at, _sql("SELECT path, 10 AS line, 'run_' || k AS name FROM m")),

@@ -1,6 +1,7 @@
 """Operators on small fixtures, checked against facts worked out by hand."""
 
 import pytest
+from demo_repo import FILES, repo
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -8,7 +9,6 @@ from pyspark.sql import functions as F
 from lodestone.functions import packages as pk
 from lodestone.functions import text as tx
 from lodestone.operators import flow, graphs, history, incremental, rdf, rules, search
-from lodestone.plans.code_queries import FILES, repo
 from lodestone.sources import code, flowfacts, manifests
 from lodestone.streaming import changes
 
