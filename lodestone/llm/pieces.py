@@ -120,6 +120,11 @@ class Pieces:
         """Empty the memory of words: ids of word i stand in known from ends[i] to ends[i + 1]."""
         self.place: dict[bytes, int] = {}
         self.known, self.ends = array("i"), array("q", [0])
+        self.sound = bytearray()  # whether word i decodes to itself
+
+    def _bare_word(self, word: bytes) -> str:
+        """A word as the decoder gives it: without the blank that stands for the start of a text."""
+        return (word[1:] if self.model.dummy_prefix and word[:1] == b" " else word).decode()
 
     def normalised(self, text: str) -> str:
         """The text as the model sees it, markers for blanks."""
@@ -147,13 +152,20 @@ class Pieces:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null gives none."""
+        return self.checked(texts)[0]
+
+    def checked(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool]]:
+        """Ids of each text, and whether the library decodes them to the normalised text.
+
+        Where pieces keep within words, so do encoding and decoding: each different word is encoded and decoded once.
+        """
         whole = [self.normalised(t or "") for t in texts]
         if self.model.by_word:
             return self._encode_words(whole)
-        return self._encode_flat(whole)
+        ids = self._encode_flat(whole)
+        return ids, [a == b for a, b in zip(self.decode(ids), map(self.plain, texts))]
 
-    def _encode_words(self, whole: list[str]) -> list[np.ndarray]:
-        """Ids of normalised texts of a model whose pieces keep within words: each different word of the batch is encoded once."""
+    def _encode_words(self, whole: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         raw = [t.replace(MARK, " ").encode() for t in whole]
         edge = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
         data = np.frombuffer(b"".join(raw), np.uint8)
@@ -173,16 +185,19 @@ class Pieces:
             found = [e.ids for e in bare.encode_batch_fast([w.decode().replace(" ", MARK) for w in part], add_special_tokens=False)]
             self.place.update(zip(part, range(len(self.place), len(self.place) + len(part))))
             self.known.extend(chain.from_iterable(found))
+            self.sound.extend(a == b for a, b in zip(self.tok.decode_batch(found, skip_special_tokens=False), map(self._bare_word, part)))
             self.ends.extend(accumulate(map(len, found), initial=self.ends.pop()))
         known, ends = np.frombuffer(self.known, np.int32), np.frombuffer(self.ends, np.int64)
         which = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
         begin = ends[which]
         times = ends[which + 1] - begin
+        failed = np.concatenate(([0], np.cumsum(np.frombuffer(bytes(self.sound), np.uint8)[which] == 0)))
         before = np.concatenate(([0], np.cumsum(times)))
         ids = known[np.repeat(begin - before[:-1], times) + np.arange(before[-1])]
         del known, ends  # views of arrays that grow
-        cuts = before[np.searchsorted(at, edge)]
-        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        places = np.searchsorted(at, edge)
+        cuts, wrong = before[places], failed[places]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])], (wrong[1:] == wrong[:-1]).tolist()
 
     def _encode_flat(self, whole: list[str]) -> list[np.ndarray]:
         """Ids of normalised texts, by the library's threads, in batches of bounded size."""
@@ -266,11 +281,9 @@ def _encode(raw: bytes, with_ids: bool) -> Mapper:
                     continue
                 part = batch.slice(lo, hi - lo)
                 texts = part.column(at).to_pylist()
-                ids = pieces.encode(texts)
-                back = pieces.decode(ids)
-                whole = [pieces.plain(t) for t in texts]
+                ids, right = pieces.checked(texts)
                 out = part.remove_column(at).append_column("n_tokens", pa.array([len(x) for x in ids], pa.int64()))
-                out = out.append_column("ids_sha256", pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids])).append_column("round_trip", pa.array([a == b for a, b in zip(whole, back)]))
+                out = out.append_column("ids_sha256", pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids])).append_column("round_trip", pa.array(right, pa.bool_()))
                 yield out.append_column("ids", list_array(np.concatenate(ids), np.array([len(x) for x in ids]), pa.int32())) if with_ids else out
                 lo, size = hi, 0
 
