@@ -124,7 +124,7 @@ def _place(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _texts(n: int, fold_case: bool, buckets: int) -> Mapper:
-    """The text of every class, once a task, by bucket of the class."""
+    """The texts of every class, once a task, packed by bucket of the class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, seen = even_labels(buckets), set()
@@ -135,8 +135,13 @@ def _texts(n: int, fold_case: bool, buckets: int) -> Mapper:
                 fresh = np.array([i for i, (k, s) in enumerate(zip(key.tolist(), np.diff(bounds).tolist())) if s and not (k in seen or seen.add(k))], np.int64)
                 if len(fresh):
                     home = _place(key[fresh], buckets)
-                    text = batch.column("__text").slice(lo, hi - lo).take(pa.array(fresh))
-                    yield pa.record_batch([pa.array(labels[home], pa.int32()), pa.array(home, pa.int32()), text], names=["bucket", "home", "text"])
+                    by = np.argsort(home, kind="stable")
+                    home, fresh = home[by], fresh[by]
+                    at, raw = _heads(home), data.tobytes()
+                    blocks = [[raw[offs[i] : offs[i + 1]] for i in part] for part in np.split(fresh, at[1:])]
+                    sizes = [np.array([len(t) for t in b], np.int64).tobytes() for b in blocks]
+                    packed = [pa.compress(b"".join(b), codec="zstd", asbytes=True) for b in blocks]
+                    yield pa.record_batch([pa.array(labels[home[at]], pa.int32()), pa.array(home[at], pa.int32()), pa.array(sizes, pa.binary()), pa.array(packed, pa.binary())], names=["bucket", "home", "sizes", "text"])
 
     return run
 
@@ -144,12 +149,13 @@ def _texts(n: int, fold_case: bool, buckets: int) -> Mapper:
 def _classes_in(rows: pa.Table, n: int, fold_case: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, n-grams and their bounds of the different classes of a bucket, in order of key."""
     keys, sizes, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)]
-    for batch in rows.select(["text"]).combine_chunks().to_batches():
-        for _, _, data, offs in text_chunks(batch, "text"):
-            x, bounds = sets_of(data, offs, n, fold_case)
-            keys.append(digests(x, bounds)[0])
-            sizes.append(np.diff(bounds))
-            held.append(x)
+    for lengths, packed in zip(rows.column("sizes").to_pylist(), rows.column("text").to_pylist()):
+        offs = np.concatenate(([0], np.cumsum(np.frombuffer(lengths, np.int64))))
+        data = np.frombuffer(pa.decompress(packed, decompressed_size=int(offs[-1]), codec="zstd", asbytes=True), np.uint8)
+        x, bounds = sets_of(data, offs, n, fold_case)
+        keys.append(digests(x, bounds)[0])
+        sizes.append(np.diff(bounds))
+        held.append(x)
     key, size, x = np.concatenate(keys), np.concatenate(sizes), np.concatenate(held)
     begin = np.cumsum(size) - size
     key, first = np.unique(key, return_index=True)
@@ -414,10 +420,10 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den:
     total = classes.agg(F.sum("size")).first()[0] or 0
     buckets = max(spark_n, -(-total // BUCKET_NGRAMS))
     by_bucket = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    texts = by_bucket(slim.where("__id is not null").select("__text").mapInArrow(_texts(n, fold_case, buckets), "bucket int, home int, text string"))
+    texts = by_bucket(slim.where("__id is not null").select("__text").mapInArrow(_texts(n, fold_case, buckets), "bucket int, home int, sizes binary, text binary"))
     dealt = by_bucket(texts.mapInArrow(_deal(n, fold_case, buckets), "bucket int, home int, src int, x binary, times binary"))
-    totals = dealt.mapInArrow(_count(buckets), "bucket int, src int, times binary").withColumn("text", F.lit(None).cast("string"))
-    both = totals.unionByName(texts.select("bucket", F.lit(None).cast("int").alias("src"), F.lit(None).cast("binary").alias("times"), "text"))
+    totals = dealt.mapInArrow(_count(buckets), "bucket int, src int, times binary").withColumns({c: F.lit(None).cast("binary") for c in ("sizes", "text")})
+    both = totals.unionByName(texts.select("bucket", F.lit(None).cast("int").alias("src"), F.lit(None).cast("binary").alias("times"), "sizes", "text"))
     able = cut(by_bucket(both).mapInArrow(_gather(n, fold_case, num, den, buckets), "key long, size long, shared long, set binary, prefix binary"))
     chains = by_bucket(able.select("key", "size", "prefix").mapInArrow(_post(buckets), "bucket int, x binary, key binary, size binary")).mapInArrow(_chains(num, den), "a long, b long")
     families = components(chains)
