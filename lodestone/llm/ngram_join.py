@@ -25,11 +25,10 @@ over, as their links cannot change a component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -207,29 +206,26 @@ def _count(buckets: int) -> Mapper:
     return run
 
 
-def _gather(n: int, fold_case: bool, num: int, den: int, buckets: int) -> Mapper:
-    """(key, size, shared, set, prefix) of the classes that can have a link: their shared n-grams by hash, and the first of them in the global order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches, ["bucket"]):
-            told = rows.filter(pc.is_valid(rows.column("times"))).sort_by("src")
-            key, x, bounds = _classes_in(rows.filter(pc.is_null(rows.column("times"))), n, fold_case)
-            different, which = np.unique(x, return_inverse=True)
-            totals = np.empty(len(different), np.uint8)
-            totals[_dealt_order(different, buckets)[0]] = _unpacked(told, times=np.uint8)[0]
-            total = totals[which]
-            size = np.diff(bounds)
-            shared = np.add.reduceat((total > 1).astype(np.int64), bounds[:-1]) if len(size) else size
-            first = shared - -(-num * size // den) + 1  # n-grams of this class alone come before all of these
-            able = np.flatnonzero(first > 0)
-            for lo in range(0, len(able), 2000):
-                part, sets, prefixes = able[lo : lo + 2000], [], []
-                for i in part:
-                    own, held = x[bounds[i] : bounds[i + 1]], total[bounds[i] : bounds[i + 1]]
-                    own, held = own[held > 1], held[held > 1]
-                    sets.append(own.tobytes())
-                    prefixes.append(own[np.argsort(held, kind="stable")[: first[i]]].tobytes())
-                yield pa.record_batch([pa.array(key[part]), pa.array(size[part]), pa.array(shared[part]), pa.array(sets, pa.binary()), pa.array(prefixes, pa.binary())], names=["key", "size", "shared", "set", "prefix"])
+def _gather(n: int, fold_case: bool, num: int, den: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """(key, size, shared, set, prefix) of the classes of a bucket that can have a link: their shared n-grams by hash, and the first of them in the global order."""
+
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        key, x, bounds = _classes_in(texts, n, fold_case)
+        different, which = np.unique(x, return_inverse=True)
+        totals = np.empty(len(different), np.uint8)
+        totals[_dealt_order(different, buckets)[0]] = _unpacked(told.sort_by("src"), times=np.uint8)[0]
+        total = totals[which]
+        size = np.diff(bounds)
+        shared = np.add.reduceat((total > 1).astype(np.int64), bounds[:-1]) if len(size) else size
+        first = shared - -(-num * size // den) + 1  # n-grams of this class alone come before all of these
+        able = np.flatnonzero(first > 0)
+        sets, prefixes = [], []
+        for i in able:
+            own, held = x[bounds[i] : bounds[i + 1]], total[bounds[i] : bounds[i + 1]]
+            own, held = own[held > 1], held[held > 1]
+            sets.append(own.tobytes())
+            prefixes.append(own[np.argsort(held, kind="stable")[: first[i]]].tobytes())
+        return pa.table([pa.array(key[able]), pa.array(size[able]), pa.array(shared[able]), pa.array(sets, pa.binary()), pa.array(prefixes, pa.binary())], names=["key", "size", "shared", "set", "prefix"])
 
     return run
 
@@ -422,9 +418,10 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den:
     by_bucket = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     texts = by_bucket(slim.where("__id is not null").select("__text").mapInArrow(_texts(n, fold_case, buckets), "bucket int, home int, sizes binary, text binary"))
     dealt = by_bucket(texts.mapInArrow(_deal(n, fold_case, buckets), "bucket int, home int, src int, x binary, times binary"))
-    totals = dealt.mapInArrow(_count(buckets), "bucket int, src int, times binary").withColumns({c: F.lit(None).cast("binary") for c in ("sizes", "text")})
-    both = totals.unionByName(texts.select("bucket", F.lit(None).cast("int").alias("src"), F.lit(None).cast("binary").alias("times"), "sizes", "text"))
-    able = cut(by_bucket(both).mapInArrow(_gather(n, fold_case, num, den, buckets), "key long, size long, shared long, set binary, prefix binary"))
+    totals = dealt.mapInArrow(_count(buckets), "bucket int, src int, times binary").repartition(buckets, "bucket")
+    # both sides lie by bucket already, so the texts' one shuffle serves their counting and their gathering
+    gathered = texts.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(_gather(n, fold_case, num, den, buckets), "key long, size long, shared long, set binary, prefix binary")
+    able = cut(gathered)
     chains = by_bucket(able.select("key", "size", "prefix").mapInArrow(_post(buckets), "bucket int, x binary, key binary, size binary")).mapInArrow(_chains(num, den), "a long, b long")
     families = components(chains)
     tops = F.array(*[F.lit(int(t)) for t in TOPS])
