@@ -26,8 +26,10 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Characters encoded at a time.
 SECTION = 1 << 18
-#: Different words whose ids are kept, about.
-CACHED_WORDS = 400_000
+#: Different words whose ids are kept, about: a worker's memory of words stays below some 50 MB.
+CACHED_WORDS = 60_000
+#: Different words that the library encodes at a time.
+WORDS_AT_ONCE = 4_000
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -180,8 +182,8 @@ class Pieces:
             self._forget()
         new = [w for w in distinct if w not in self.place]
         bare = self._bare()
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
+        for a in range(0, len(new), WORDS_AT_ONCE):
+            part = new[a : a + WORDS_AT_ONCE]
             found = [e.ids for e in bare.encode_batch_fast([w.decode().replace(" ", MARK) for w in part], add_special_tokens=False)]
             self.place.update(zip(part, range(len(self.place), len(self.place) + len(part))))
             self.known.extend(chain.from_iterable(found))
@@ -223,13 +225,12 @@ class Pieces:
     @lru_cache(maxsize=1)
     def _bare(self):
         """The tokenizer without the normaliser, whose work normalised() has done."""
-        from tokenizers import Tokenizer
+        if not self.tok.normalizer:
+            return self.tok
+        from tokenizers import Tokenizer, normalizers
 
         tok = Tokenizer.from_str(self.tok.to_str())
-        if self.model.squeeze or self.model.charsmap:
-            from tokenizers import normalizers
-
-            tok.normalizer = normalizers.Sequence([])
+        tok.normalizer = normalizers.Sequence([])
         return tok
 
     def plain(self, text: str | None) -> str:
