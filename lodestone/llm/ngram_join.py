@@ -430,9 +430,9 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den:
     # linked sets meet in the size class of the larger one
     placed = able.select("key", "size", "shared").join(families, F.col("key") == families["v"]).select("key", "shared", F.col("component").alias("family"), F.explode(F.sequence(first, F.greatest(first, last))).alias("cls"))
     placed = cut(placed)
-    weight = placed.groupBy("family", "cls").agg(F.sum("shared").alias("w"), F.count("*").alias("k")).where("k > 1").select("family", "cls", F.greatest(F.lit(1), F.ceil(F.col("w") / BLOCK_NGRAMS)).cast("int").alias("blocks"))
+    weight = cut(placed.groupBy("family", "cls").agg(F.sum("shared").alias("w"), F.count("*").alias("k")).where("k > 1").select("family", "cls", F.greatest(F.lit(1), F.ceil(F.col("w") / BLOCK_NGRAMS)).cast("int").alias("blocks"), "k"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    wanted = placed.join(weight, ["family", "cls"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).select("key", "family", "cls", "block", other.alias("o"))
+    wanted = join_hot(placed, weight, ["family", "cls"], "k").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).select("key", "family", "cls", "block", other.alias("o"))
     asked = wanted.select("key", "family", "cls", "block", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"))
     sets = asked.join(able.select("key", "size", "set"), "key").repartition(spark_n, "family", "cls", "bi", "bj").sortWithinPartitions("family", "cls", "bi", "bj")
     links = sets.select("key", "size", "family", "cls", "block", "bi", "bj", "set").mapInArrow(_links(num, den), "a long, b long")

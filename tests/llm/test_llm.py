@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips, held-out accuracy and odd inputs."""
 
+import functools
 import hashlib
 import re
 import zlib
@@ -72,6 +73,9 @@ def test_join_near_threshold_and_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = components({d: shingle_set(t, 3, False) for d, t in rows}, 90)
     assert {r[0]: r[2] for r in ngram_join.ngram_jaccard_join(df, n=3, num=90).collect()} == want
+    # families joined apart, as very large ones are
+    monkeypatch.setattr(ngram_join, "join_hot", functools.partial(ngram_join.join_hot, least=1))
+    assert {r[0]: r[2] for r in ngram_join.ngram_jaccard_join(df, n=3, num=90).collect()} == want
 
 
 def test_trie_walk_finds_all_links():
