@@ -74,8 +74,11 @@ TEMPLATES: dict[str, str] = {
 _QUERY = re.compile(r"^\s*(?:PREFIX\s+\S+\s+\S+\s+)*(SELECT|ASK)\s*(DISTINCT)?\s*(.*?)\s*(?:WHERE)?\s*\{(.*)\}\s*(.*)$", re.I | re.S)
 
 
-def sparql(triples: DataFrame, query: str, limit: int = 1000, offset: int = 0) -> DataFrame:
-    """SELECT and ASK with basic graph patterns, UNION, FILTER (CONTAINS, LCASE, =, !=, <, >), ORDER BY, LIMIT and OFFSET."""
+def sparql(triples: DataFrame, query: str, limit: int | None = 1000, offset: int = 0) -> DataFrame:
+    """SELECT and ASK with basic graph patterns, UNION, FILTER (CONTAINS, LCASE, =, !=, <, >), ORDER BY, LIMIT and OFFSET.
+
+    limit holds where the query names none; with a limit of None such a query gives all its rows.
+    """
     m = _QUERY.match(query)
     if not m:
         raise ValueError("not a query this engine reads")
@@ -102,10 +105,12 @@ def sparql(triples: DataFrame, query: str, limit: int = 1000, offset: int = 0) -
         keys = re.findall(r"(ASC|DESC)?\s*\(?\?(\w+)\)?", order[1], re.I)
         result = result.orderBy(*[F.desc(n) if d.upper() == "DESC" else F.asc(n) for d, n in keys])
     skip, most = re.search(r"OFFSET\s+(\d+)", tail, re.I), re.search(r"LIMIT\s+(\d+)", tail, re.I)
-    return result.offset(int(skip[1]) if skip else offset).limit(min(int(most[1]) if most else limit, 10000))
+    result = result.offset(int(skip[1]) if skip else offset)
+    return result if not most and limit is None else result.limit(min(int(most[1]) if most else limit, 10000))
 
 
-def run_template(triples: DataFrame, name: str, limit: int = 1000, **params: str) -> DataFrame:
+def run_template(triples: DataFrame, name: str, limit: int | None = 1000, **params: str) -> DataFrame:
+    """The named query with its parameters filled in; a limit of None gives all rows."""
     query = TEMPLATES[name]
     for k, v in params.items():
         if not re.fullmatch(r"[\w./:#-]*", v):

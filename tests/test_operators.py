@@ -118,6 +118,14 @@ def test_sparql_refuses_products(spark):
         rdf.match(t, [("?a", "p", "?b"), ("?c", "p", "?d")])
 
 
+def test_templates_give_all_rows_where_no_limit_is_set(spark):
+    s = spark.range(10050).select(F.lit("r").alias("repo"), F.concat(F.col("id"), F.lit(".py")).alias("path"), F.lit("f").alias("name"), F.lit("function").alias("kind"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.lit("def f():").alias("signature"))
+    triples = rdf.symbol_triples(s)
+    assert rdf.run_template(triples, "find_functions", limit=None).count() == 10050  # more than the most that a limit allows
+    assert rdf.run_template(triples, "find_functions", limit=7).count() == 7
+    assert rdf.sparql(triples, "SELECT ?f WHERE { ?f type Function } LIMIT 5", limit=None).count() == 5
+
+
 def test_nquads_round_trip(spark):
     t = spark.createDataFrame([("urn:a", "p", 'x "q"\n\\n', "g"), ("urn:a", "q", "urn:b", "g")], "s string, p string, o string, g string")
     assert sorted(map(tuple, rdf.parse_nquads(rdf.nquads(t)).collect())) == sorted(map(tuple, t.collect()))
