@@ -161,9 +161,15 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     near = F.when(folder == "", base).otherwise(F.concat_ws("/", folder, base))
     rooted = F.concat(F.lit("src/"), F.regexp_replace(base, r"^((crate|self|super)/)+", ""))
     endings = F.array(*[F.lit(x) for x in (".py", ".ts", ".tsx", ".js", ".jsx", ".rs", "/__init__.py", "/index.ts", "/index.js", "/mod.rs", "")])
-    tried = imports.select("repo", F.col("path").alias("src"), "module", F.posexplode(F.flatten(F.transform(F.array(near, base, rooted, F.regexp_replace(rooted, "/[^/]*$", "")), lambda c: F.transform(endings, lambda e: F.concat(c, e))))))
-    met = tried.withColumnRenamed("col", "dst").join(files.select("repo", F.col("path").alias("dst")).distinct(), ["repo", "dst"])
-    return met.where("src <> dst").groupBy("repo", "src", "module").agg(F.min_by("dst", "pos").alias("dst")).select("repo", "src", "dst", "module").distinct()
+    candidates = F.flatten(F.transform(F.array(near, base, rooted, F.regexp_replace(rooted, "/[^/]*$", "")), lambda c: F.transform(endings, lambda e: F.concat(c, e))))
+    asked = imports.select("repo", F.col("path").alias("src"), "module", folder.alias("folder"))
+    # a module is looked up once for each folder that imports it; its candidates are many more than the sizes of the inputs tell, so they are never broadcast
+    each = asked.select("repo", "folder", "module", F.col("src").alias("path")).groupBy("repo", "folder", "module").agg(F.min("path").alias("path"))
+    tried = each.select("repo", "folder", "module", F.posexplode(candidates)).withColumnRenamed("col", "dst")
+    met = tried.hint("merge").join(files.select("repo", F.col("path").alias("dst")).distinct().hint("merge"), ["repo", "dst"])
+    found = met.groupBy("repo", "folder", "module").agg(F.array_sort(F.collect_list(F.struct("pos", "dst"))).alias("found"))
+    first = F.filter("found", lambda x: x["dst"] != F.col("src"))
+    return asked.join(found, ["repo", "folder", "module"]).select("repo", "src", F.get(first, F.lit(0))["dst"].alias("dst"), "module").where("dst is not null").distinct()
 
 
 def exports_of(symbols: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators on small fixtures, checked against facts worked out by hand."""
 
+import re
+
 import pytest
 from demo_repo import FILES, repo
 from hypothesis import given, settings
@@ -126,6 +128,27 @@ def test_templates_give_all_rows_where_no_limit_is_set(spark):
     assert rdf.sparql(triples, "SELECT ?f WHERE { ?f type Function } LIMIT 5", limit=None).count() == 5
 
 
+def _importers(spark):
+    paths = ["a.py", "src/a.py", "x/a.py", "x/b.py", "x/c.py", "x/y.py", "x/y/__init__.py"]
+    files = spark.createDataFrame([("r", x) for x in paths], "repo string, path string")
+    asked = [("a.py", "a"), ("x/b.py", "a"), ("x/a.py", "a"), ("x/b.py", "x.y"), ("x/b.py", "b"), ("x/c.py", "os"), ("x/c.py", "a")]
+    return spark.createDataFrame([("r", p, m, n) for p, m in asked for n in ("u", "v")], "repo string, path string, module string, name string"), files
+
+
+def test_imports_take_the_first_candidate_that_is_another_file(spark):
+    got = sorted((r["src"], r["module"], r["dst"]) for r in code.resolve_imports(*_importers(spark)).collect())
+    assert got == [("a.py", "a", "src/a.py"), ("x/a.py", "a", "a.py"), ("x/b.py", "a", "x/a.py"), ("x/b.py", "x.y", "x/y.py"), ("x/c.py", "a", "x/a.py")]
+
+
+def test_candidates_of_imports_are_never_broadcast(spark, tmp_path):
+    stored = []
+    for i, x in enumerate(_importers(spark)):
+        x.write.parquet(f"{tmp_path}/{i}")
+        stored.append(spark.read.parquet(f"{tmp_path}/{i}"))
+    plan = code.resolve_imports(*stored)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[repo#\d+, dst#\d+\]", plan) and not re.search(r"BroadcastHashJoin \[repo#\d+, dst#\d+\]", plan)
+
+
 def test_nquads_round_trip(spark):
     t = spark.createDataFrame([("urn:a", "p", 'x "q"\n\\n', "g"), ("urn:a", "q", "urn:b", "g")], "s string, p string, o string, g string")
     assert sorted(map(tuple, rdf.parse_nquads(rdf.nquads(t)).collect())) == sorted(map(tuple, t.collect()))
