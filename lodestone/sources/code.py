@@ -204,6 +204,7 @@ def symbol_at(symbols: DataFrame, positions: DataFrame) -> DataFrame:
 def usages(symbols: DataFrame, lines: DataFrame) -> DataFrame:
     """(repo, name, path, line): every line that names a symbol of its repository, but for the lines that define it."""
     words = lines.select("repo", "path", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_]\w*)"), 1))).alias("name"))
-    named = words.join(symbols.select("repo", "name").distinct(), ["repo", "name"])
+    # parsed symbols and split lines are many times what their files' sizes tell, so neither is broadcast
+    named = words.hint("merge").join(symbols.select("repo", "name").distinct().hint("merge"), ["repo", "name"])
     own = symbols.select("repo", "name", "path", F.col("start_line").alias("line"))
-    return named.join(own, ["repo", "name", "path", "line"], "left_anti")
+    return named.hint("merge").join(own.hint("merge"), ["repo", "name", "path", "line"], "left_anti")

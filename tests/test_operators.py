@@ -169,6 +169,12 @@ def test_candidates_of_imports_are_never_broadcast(spark, tmp_path):
     assert re.search(r"SortMergeJoin \[repo#\d+, dst#\d+\]", plan) and not re.search(r"BroadcastHashJoin \[repo#\d+, dst#\d+\]", plan)
 
 
+def test_parsed_symbols_are_never_broadcast(spark, sf):
+    f = adapters.source_files(spark, sf)
+    plan = code.usages(code.symbols_of(f), search.lines_of(f))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "BroadcastExchange" not in plan
+
+
 def test_nquads_round_trip(spark):
     t = spark.createDataFrame([("urn:a", "p", 'x "q"\n\\n', "g"), ("urn:a", "q", "urn:b", "g")], "s string, p string, o string, g string")
     assert sorted(map(tuple, rdf.parse_nquads(rdf.nquads(t)).collect())) == sorted(map(tuple, t.collect()))
