@@ -26,8 +26,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Characters encoded at a time.
 SECTION = 1 << 18
-#: Different words whose ids are kept, about: a worker's memory of words stays below some 50 MB.
-CACHED_WORDS = 60_000
+#: Different words whose ids are kept, about: a worker's memory of words stays below some 60 MB.
+CACHED_WORDS = 200_000
 #: Different words that the library encodes at a time.
 WORDS_AT_ONCE = 4_000
 
@@ -123,10 +123,25 @@ class Pieces:
         self.place: dict[bytes, int] = {}
         self.known, self.ends = array("i"), array("q", [0])
         self.sound = bytearray()  # whether word i decodes to itself
+        self.met = bytearray()  # whether word i came again since words were last dropped
 
-    def _bare_word(self, word: bytes) -> str:
+    def _thin(self) -> None:
+        """Drop the words that did not come again; all of them, if that leaves the memory near full."""
+        keep = np.flatnonzero(np.frombuffer(bytes(self.met), np.uint8))
+        words, known, ends, sound = list(self.place), np.array(self.known, np.int32), np.array(self.ends), self.sound
+        self._forget()
+        if len(keep) <= 0.75 * CACHED_WORDS:
+            self.place = {words[i]: n for n, i in enumerate(keep.tolist())}
+            begin, times = ends[keep], ends[keep + 1] - ends[keep]
+            before = np.concatenate(([0], np.cumsum(times)))
+            self.known = array("i", known[np.repeat(begin - before[:-1], times) + np.arange(before[-1])].astype(np.int32).tobytes())
+            self.ends = array("q", before.astype(np.int64).tobytes())
+            self.sound = bytearray(np.frombuffer(bytes(sound), np.uint8)[keep].tobytes())
+            self.met = bytearray(len(keep))
+
+    def _bare_word(self, word: str) -> str:
         """A word as the decoder gives it: without the blank that stands for the start of a text."""
-        return (word[1:] if self.model.dummy_prefix and word[:1] == b" " else word).decode()
+        return word[1:] if self.model.dummy_prefix and word[:1] == " " else word
 
     def normalised(self, text: str) -> str:
         """The text as the model sees it, markers for blanks."""
@@ -179,18 +194,23 @@ class Pieces:
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)]).dictionary_encode()
         distinct = words.dictionary.to_pylist()
         if len(self.place) > CACHED_WORDS:
-            self._forget()
+            self._thin()
+        old = len(self.place)
         new = [w for w in distinct if w not in self.place]
         bare = self._bare()
         for a in range(0, len(new), WORDS_AT_ONCE):
             part = new[a : a + WORDS_AT_ONCE]
-            found = [e.ids for e in bare.encode_batch_fast([w.decode().replace(" ", MARK) for w in part], add_special_tokens=False)]
+            plain = [w.decode() for w in part]
+            found = [e.ids for e in bare.encode_batch_fast([w.replace(" ", MARK) for w in plain], add_special_tokens=False)]
             self.place.update(zip(part, range(len(self.place), len(self.place) + len(part))))
             self.known.extend(chain.from_iterable(found))
-            self.sound.extend(a == b for a, b in zip(self.tok.decode_batch(found, skip_special_tokens=False), map(self._bare_word, part)))
+            self.sound.extend(a == b for a, b in zip(self.tok.decode_batch(found, skip_special_tokens=False), map(self._bare_word, plain)))
             self.ends.extend(accumulate(map(len, found), initial=self.ends.pop()))
         known, ends = np.frombuffer(self.known, np.int32), np.frombuffer(self.ends, np.int64)
-        which = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
+        entry = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        self.met.extend(bytes(len(self.place) - old))
+        np.frombuffer(self.met, np.uint8)[entry[entry < old]] = 1
+        which = entry[words.indices.to_numpy()]
         begin = ends[which]
         times = ends[which + 1] - begin
         failed = np.concatenate(([0], np.cumsum(np.frombuffer(bytes(self.sound), np.uint8)[which] == 0)))

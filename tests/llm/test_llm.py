@@ -250,6 +250,28 @@ def test_unigram_model_is_built():
     assert p.model.kind == "unigram" and p.encode(["ab a", None, ""])[0].tolist() == [3, 1] and pieces.parity(raw, ["ab a", "b  a", "abba", ""]) == []
 
 
+def test_pieces_keep_words_that_come_again(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHED_WORDS", 60)
+    raw = pieces.read_model(None, MODEL)
+    often = " ".join(f"often{i}" for i in range(20))
+    texts = [f"{often} {' '.join(f'rare{n}x{i}' for i in range(30))} a\x00\u0301  b" for n in range(12)]
+    kept, fresh, asked = pieces.Pieces(raw), pieces.Pieces(raw), []
+    bare = kept._bare()
+
+    class Counting:
+        def encode_batch_fast(self, words, **how):
+            asked.extend(words)
+            return bare.encode_batch_fast(words, **how)
+
+    monkeypatch.setattr(kept, "_bare", Counting)
+    for t in texts:
+        (ids,), right = kept.checked([t])
+        fresh._forget()
+        (want,), sound = fresh.checked([t])
+        assert ids.tolist() == want.tolist() and right == sound
+    assert max(sum(pieces.MARK + f"often{i}" == w for w in asked) for i in range(1, 20)) == 1 and len(asked) < 12 * 31 + 40
+
+
 def test_pieces_odd_rows(odd):
     got = pieces.sentencepiece_encode(odd, MODEL)
     rows = {(r.doc_id, r.n_tokens > 0, r.round_trip) for r in got.collect()}
