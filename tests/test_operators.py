@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import packages as pk
 from lodestone.functions import text as tx
 from lodestone.operators import flow, graphs, history, incremental, rdf, rules, search
-from lodestone.plans import adapters
-from lodestone.sources import code, flowfacts, manifests
+from lodestone.plans import adapters, catalog
+from lodestone.sources import code, flowfacts, manifests, unused
 from lodestone.streaming import changes
 
 
@@ -93,6 +93,49 @@ def test_findings_of_files_are_those_of_their_facts(spark):
         assert sorted(map(tuple, flowfacts.findings_of(files, [kind]).collect()), key=key) == [r for r in whole if r[3] == kind]
 
 
+def test_dead_code_has_unused_imports(spark, sf):
+    rows = catalog.QUERIES["find_dead_code"](spark, sf).where("finding = 'unused_import'").select("path", F.col("def_line").alias("line"), F.col("var").alias("name"))
+    alone = catalog.QUERIES["find_unused_imports"](spark, sf)
+    assert rows.count() > 0 and sorted(map(tuple, rows.collect())) == sorted(map(tuple, alone.collect()))
+
+
+def test_dead_code_of_a_repository(spark):
+    more = spark.createDataFrame([("demo", "tests/help.py", "python", "import os\n"), ("demo", "broken.py", "python", "import os\ndef f(:"), ("demo", "none.go", "go", None), ("demo", "a.c", "c", "#include <a.h>\n")], "repo string, path string, language string, content string")
+    files = repo(spark).select("repo", "path", "language", "content").unionByName(more)
+    found = flowfacts.dead_code(files)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = {tuple(r)[1:] for r in found.collect()}
+    imports = {r for r in rows if r[2] == "unused_import"}
+    assert imports == {(p, None, "unused_import", n, line, None, None) for p, n, line in (("src/app.py", "loads", 3), ("src/app.py", "d", 3), ("src/app.py", "helper", 4), ("src/lib.py", "f", 1))}
+    flows = flowfacts.findings_of(files, ["dead_store", "unreachable"]).where("path not like 'tests/%'")
+    assert rows - imports == {tuple(r)[1:] for r in flows.collect()} != set()
+    assert {tuple(r)[1:] for r in flowfacts.dead_code(files, function="go").collect()} == imports
+    assert {r["path"] for r in flowfacts.dead_code(files, exclude_tests=False).collect()} == {"src/app.py", "src/lib.py", "tests/help.py"} | {r[0] for r in rows}
+
+
+def test_unused_imports_of_python():
+    of = lambda s: unused.python_unused(ast.parse(s))
+    assert of("import os.path, sys as system\nfrom a import (\n  b,\n  c as d)\nfrom __future__ import annotations\nfrom x import *\n# system b\nprint(os, 'd')\n") == [(1, "system"), (2, "b"), (2, "d")]
+    assert of("def f(p: 'Y') -> 'List[Z]':\n  import q\n  from t import Y, Z\n") == [(2, "q")]
+    assert of("from m import a, b, c\n__all__ = ['a']\n__all__ += ['b']\n") == [(1, "c")]
+
+
+@pytest.mark.parametrize(
+    "language, text, want",
+    [
+        ("rust", "use std::io::{self, Read, Write as W};\nuse std::{fmt, collections::{HashMap, HashSet as _}, rc::*};\npub use x::Y;\n// fmt HashMap\nfn f<'a>(r: &'a str) { let c = '\"'; io::stdin(); W::w(\"Read\"); }\n", [(1, "Read"), (2, "HashMap"), (2, "fmt")]),
+        ("javascript", "import React, { useState as us, b } from 'react';\nimport * as d3 from \"d3\";\nimport './side.css';\nimport {\n  m,\n  n,\n} from 'x'; import q from 'q'\nexport { e } from './e';\nconst u = `import zz from 'zz'`;\n// us d3\ns.replace(/\"/g, n(\"q\")); React.x(`${b ? `x` : m}`)\nimport('dyn')\n", [(1, "us"), (2, "d3"), (7, "q")]),
+        ("typescript", "import type { A, type B } from './t'\nimport type from 'x'\nlet a: A = 1\n", [(1, "B"), (2, "type")]),
+        ("go", 'package p\nimport (\n\t"fmt"\n\tstr "strings"\n\t_ "side"\n\t. "dot"\n\t"a.b/c/v2" // c\n\t"gopkg.in/yaml.v3"\n\t"a.b/go-redis"\n)\nimport "os"\nfunc f() { str.X(); yaml.Y("fmt"); redis.Z() }\n', [(3, "fmt"), (7, "c"), (11, "os")]),
+        ("java", 'import java.util.List; import java.util.Map;\nimport java.io.*;\nimport static a.B.c;\nclass X { /* List */ Map m; String s = "c"; }\n', [(1, "List"), (3, "c")]),
+        ("kotlin", 'import a.b.C\nimport a.b.D as E\nimport a.*\nimport a.f // x\nimport a.g\nval s = "$g ${f("k")}" // C\n', [(1, "C"), (2, "E")]),
+        ("csharp", "using System;\nusing A = B.C;\nusing D = E.F;\nclass X { void f() { using var y = new A(); } }\n", [(3, "D")]),
+    ],
+)
+def test_unused_imports_of_other_languages(language, text, want):
+    assert unused.shaped_unused(language, text) == want
+
+
 def test_modules_of_one_part_file_are_dealt_to_several_tasks(spark, sf):
     used = adapters.source_files(spark, sf).select(F.spark_partition_id().alias("p")).distinct().count()
     assert spark.read.parquet(f"{sf}/part.parquet").rdd.getNumPartitions() == 1 and used > 1
